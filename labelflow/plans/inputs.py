@@ -59,3 +59,44 @@ RULE_P_SQL = f"""rule_p AS (
          'm' || CAST(h % 3 AS VARCHAR) AS model_name
   FROM (SELECT *, {det_hash_sql('doc_id')} AS h FROM documents) d),
 rp AS (SELECT *, {extract_sql('raw_prediction')} AS prediction FROM rule_p)"""
+
+
+def labelled_documents(documents: DataFrame) -> DataFrame:
+    """``documents`` as a flat labelled table: company = source, class = lang,
+    sample text = first 80 characters, class number = 1-based sorted lang
+    index, table order = doc_id."""
+    from labelflow.operators.sampling import label_index
+
+    idx = label_index(documents, "lang", name="class_number").select(
+        F.col("label").alias("class_name"), F.col("class_number").cast("int"))
+    flat = documents.select("doc_id", F.col("source").alias("company_name"),
+                            F.substring("text", 1, 80).alias("sample_text"),
+                            F.col("lang").alias("class_name"))
+    return flat.join(idx, "class_name").select("doc_id", "company_name", "sample_text",
+                                               "class_name", "class_number")
+
+
+LD_SQL = """ld AS (SELECT doc_id, source AS company_name, substring(text, 1, 80) AS sample_text,
+                 lang AS class_name, CAST(dense_rank() OVER (ORDER BY lang) AS INTEGER) AS class_number
+          FROM documents)"""
+
+# per-company numbered option block over ``ld``
+OPTS_SQL = """fc AS (SELECT company_name, class_name, min(doc_id) AS p,
+                  arg_min(class_number, doc_id) AS num FROM ld GROUP BY company_name, class_name),
+opts AS (SELECT company_name,
+                chr(10) || '        OPTIONS:' || chr(10) || '        '
+                || string_agg(CAST(num AS VARCHAR) || '.' || class_name || ' ' || chr(10), '' ORDER BY p)
+                || chr(10) || '    ' AS prompt_options
+         FROM fc GROUP BY company_name)"""
+
+STRIP_SQL = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def strip_sql(x: str) -> str:
+    return STRIP_SQL.format(x=x)
+
+
+def option_texts_sql(options: str) -> str:
+    body = strip_sql(f"replace({options}, 'OPTIONS:', '')")
+    return (f"list_transform(list_filter(string_split({body}, chr(10)), lambda l: instr(l, '.') > 0), "
+            f"lambda l: {strip_sql('lower(substring(l, instr(l, chr(46)) + 1))')})")
