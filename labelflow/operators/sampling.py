@@ -18,6 +18,7 @@ Scale notes
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,7 +130,7 @@ def exact_split(df: DataFrame, id_col: str, test_fraction: float = 0.2,
     w = Window.partitionBy(*keys).orderBy("_b")
     cum = (counts.withColumn("_cum", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
                  .withColumn("_tot", F.sum("_n").over(Window.partitionBy(*keys)))
-                 .withColumn("_k", F.ceil(F.col("_tot") * F.lit(test_fraction)).cast("bigint")))
+                 .withColumn("_k", F.ceil(F.col("_tot") * F.lit(Decimal(str(test_fraction)))).cast("bigint")))
     boundary = (cum.filter((F.col("_cum") - F.col("_n") < F.col("_k")) & (F.col("_cum") >= F.col("_k")))
                    .select(*keys, F.col("_b").alias("_bstar"),
                            (F.col("_k") - (F.col("_cum") - F.col("_n"))).alias("_need")))
