@@ -104,3 +104,18 @@ def prompt_options_topn(ranked: DataFrame, group_col: str, rank_col: str, text_c
     body = F.array_join(F.transform("_o", lambda x: F.concat(F.lit(bullet + " "), x["t"],
                                                              F.lit(" \n"))), "")
     return per.select(group_col, F.concat(F.lit(TOPN_HEADER), body).alias(name))
+
+
+# Fixed value: the default template of the template-dataset builder.
+DEFAULT_TEMPLATE = "This sentence is {}"
+
+
+def templated_dataset(labels: DataFrame, label_col: str, sample_size: int,
+                      template: str = DEFAULT_TEMPLATE) -> DataFrame:
+    """``sample_size`` template rows per label: ``(label, copy, text)``.
+    Copies come from ``explode(sequence)``, not from a join."""
+    pre, post = template.split("{}")
+    return (labels.select(F.col(label_col).alias("label")).distinct()
+                  .select("label", F.explode(F.sequence(F.lit(1).cast("bigint"),
+                                                        F.lit(sample_size).cast("bigint"))).alias("copy"))
+                  .withColumn("text", F.concat(F.lit(pre), F.col("label"), F.lit(post))))
