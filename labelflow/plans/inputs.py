@@ -100,3 +100,30 @@ def option_texts_sql(options: str) -> str:
     body = strip_sql(f"replace({options}, 'OPTIONS:', '')")
     return (f"list_transform(list_filter(string_split({body}, chr(10)), lambda l: instr(l, '.') > 0), "
             f"lambda l: {strip_sql('lower(substring(l, instr(l, chr(46)) + 1))')})")
+
+
+def conversation_examples(conversations: DataFrame) -> DataFrame:
+    """Conversation turns as flat examples: company = ``conv_<id>``, pos =
+    turn, sample text = first 80 characters, class = role, class number =
+    turn, row id = conv_id * 100 + turn.  User turns of conversations whose
+    id is not a multiple of 3 carry an entity annotation (their first word,
+    lower-cased); all other rows have none."""
+    txt = F.col("text")
+    ent = F.when((F.col("role") == "user") & (F.col("conv_id") % 3 != 0),
+                 F.lower(F.split_part(txt, F.lit(" "), F.lit(1))))
+    return conversations.select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("id"),
+        F.concat(F.lit("conv_"), F.col("conv_id").cast("string")).alias("company_name"),
+        F.col("turn").alias("pos"),
+        F.substring(txt, 1, 80).alias("sample_text"),
+        F.col("role").alias("class_name"),
+        F.col("turn").cast("int").alias("class_number"),
+        ent.alias("entity_action"))
+
+
+CONV_SQL = """cx AS (SELECT conv_id * 100 + turn AS id, 'conv_' || CAST(conv_id AS VARCHAR) AS company_name,
+                 turn AS pos, substring(text, 1, 80) AS sample_text, role AS class_name,
+                 CAST(turn AS INTEGER) AS class_number,
+                 CASE WHEN role = 'user' AND conv_id % 3 <> 0 THEN lower(split_part(text, ' ', 1)) END
+                   AS entity_action
+          FROM conversations)"""

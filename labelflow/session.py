@@ -66,3 +66,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executor loss) and return a DataFrame reading it back."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder (never machine-local
+    on a cluster) for written intermediate tables."""
+    import uuid
+
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/labelflow-tables/{name}-{uuid.uuid4().hex}"
