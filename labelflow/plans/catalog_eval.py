@@ -174,12 +174,12 @@ def q_clean_prediction(spark, sf):
 
 
 BROKEN_PROPS_SQL = """ev AS (SELECT event_id,
-  CASE WHEN event_id % 10 = 3 THEN replace(props, ':', ' ') ELSE props END AS props FROM events)"""
+  CASE WHEN props LIKE '%7}' THEN replace(props, ':', ' ') ELSE props END AS props FROM events)"""
 
 
 def _broken_props(spark, sf):
     ev = read_table(spark, sf, "events", "event_id", "props")
-    return ev.select("event_id", F.when(F.col("event_id") % 10 == 3,
+    return ev.select("event_id", F.when(F.col("props").endswith("7}"),
                                         F.replace("props", F.lit(":"), F.lit(" ")))
                      .otherwise(F.col("props")).alias("props"))
 

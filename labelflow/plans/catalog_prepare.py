@@ -133,7 +133,7 @@ def q_read_nested_dataset(spark, sf):
 
 CSV_SQL = f"""WITH {RULE_P_SQL}
 SELECT rp.raw_prediction AS prediction, rp.y,
-       substring(d.text, 1, 200) AS text, 'row ' || CAST(rp.doc_id AS VARCHAR) AS prompt
+       d.text AS text, 'row ' || CAST(rp.doc_id AS VARCHAR) AS prompt
 FROM rp JOIN documents d USING (doc_id)"""
 
 
@@ -142,7 +142,7 @@ def q_read_predictions_csv(spark, sf):
     docs = read_table(spark, sf, "documents", "doc_id", "lang", "source", "n_chars", "text")
     preds = rule_p(docs).join(docs.select("doc_id", "text"), "doc_id").select(
         F.col("raw_prediction").alias("prediction"), "y",
-        F.substring("text", 1, 200).alias("text"),
+        F.col("text"),
         F.concat(F.lit("row "), F.col("doc_id").cast("string")).alias("prompt"))
     path = scratch_path(spark, "predictions-csv")
     csv_io.write_csv(preds, path)
@@ -324,13 +324,16 @@ def q_same_intent_pairs(spark, sf):
     return PR.same_intent_pairs(train).select("class_name", "pair_no", "first_id", "second_id")
 
 
-@register("leak_anti_join", """SELECT doc_id FROM documents d WHERE doc_id % 2 = 0
-AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 2 = 1 AND o.text = d.text)""")
+@register("leak_anti_join", f"""WITH {PREP_SQL}
+SELECT d.doc_id FROM documents d JOIN sp USING (doc_id) WHERE sp.split = 'train'
+AND NOT EXISTS (SELECT 1 FROM documents o JOIN sp t USING (doc_id)
+                WHERE t.split = 'test' AND o.text = d.text)""")
 def q_leak_anti_join(spark, sf):
     d = read_table(spark, sf, "documents", "doc_id", "text")
-    even = d.filter(F.col("doc_id") % 2 == 0)
-    odd = d.filter(F.col("doc_id") % 2 == 1)
-    return PR.leak_anti_join(even, odd, "text").select("doc_id")
+    s = exact_split(d, "doc_id")
+    train = s.filter(F.col("split") == "train")
+    test = s.filter(F.col("split") == "test")
+    return PR.leak_anti_join(train, test, "text").select("doc_id")
 
 
 @register("dataset_stats", f"""WITH {PREP_SQL}

@@ -18,14 +18,14 @@ def _docs(spark, sf, *cols):
     return read_table(spark, sf, "documents", *(cols or ("doc_id", "text", "lang", "source")))
 
 
-@register("exemplars_per_class", f"""WITH d AS (SELECT doc_id, lang, substring(text, 1, 80) AS text,
+@register("exemplars_per_class", f"""WITH d AS (SELECT doc_id, lang, md5(text) AS text,
                                       {HD} AS h FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) AS rnk FROM d)
 SELECT 5::BIGINT AS shots, lang AS category, rnk::BIGINT AS rnk, text FROM r WHERE rnk <= 5
 UNION ALL
 SELECT DISTINCT 0::BIGINT, lang, 1::BIGINT, lang FROM documents""")
 def q_exemplars(spark, sf):
-    d = _docs(spark, sf, "doc_id", "lang", "text").withColumn("text", F.substring("text", 1, 80))
+    d = _docs(spark, sf, "doc_id", "lang", "text").withColumn("text", F.md5("text"))
     five = S.exemplars_per_class(d, "lang", "text", 5, "doc_id")
     zero = S.exemplars_per_class(d, "lang", "text", 0, "doc_id")
     out = [x.select(F.lit(k).cast("bigint").alias("shots"), "category", "rnk", "text")

@@ -72,17 +72,18 @@ def q_label_range_filter(spark, sf):
 
 L2_SQL = """h AS (SELECT r.r_name AS l2, n.n_name AS name FROM nation n JOIN region r
                ON r.r_regionkey = n.n_regionkey WHERE n.n_nationkey < 20
-      UNION ALL SELECT 'EVEN' AS l2, n_name AS name FROM nation WHERE n_nationkey % 2 = 0)"""
+      UNION ALL SELECT 'NAMED_1' AS l2, n_name AS name FROM nation WHERE n_name LIKE '%1%')"""
 
 
 def _hierarchy(spark, sf):
     """Two-level hierarchy derived from nation/region: region groups for
-    nations 0-19 plus an overlapping 'EVEN' group; nations 21, 23 are in none."""
+    nations 0-19 plus an overlapping group of nations whose name contains a
+    1; nations 20, 22-24 are in none."""
     n = read_table(spark, sf, "nation", "n_nationkey", "n_name", "n_regionkey")
     r = read_table(spark, sf, "region", "r_regionkey", "r_name")
     reg = (n.filter(F.col("n_nationkey") < 20).join(r, n.n_regionkey == r.r_regionkey)
             .select(F.col("r_name").alias("l2"), F.col("n_name").alias("name")))
-    even = n.filter(F.col("n_nationkey") % 2 == 0).select(F.lit("EVEN").alias("l2"),
+    even = n.filter(F.col("n_name").contains("1")).select(F.lit("NAMED_1").alias("l2"),
                                                           F.col("n_name").alias("name"))
     return reg.unionByName(even)
 

@@ -63,20 +63,20 @@ rp AS (SELECT *, {extract_sql('raw_prediction')} AS prediction FROM rule_p)"""
 
 def labelled_documents(documents: DataFrame) -> DataFrame:
     """``documents`` as a flat labelled table: company = source, class = lang,
-    sample text = first 80 characters, class number = 1-based sorted lang
+    sample text = the whole text, class number = 1-based sorted lang
     index, table order = doc_id."""
     from labelflow.operators.sampling import label_index
 
     idx = label_index(documents, "lang", name="class_number").select(
         F.col("label").alias("class_name"), F.col("class_number").cast("int"))
     flat = documents.select("doc_id", F.col("source").alias("company_name"),
-                            F.substring("text", 1, 80).alias("sample_text"),
+                            F.col("text").alias("sample_text"),
                             F.col("lang").alias("class_name"))
     return flat.join(idx, "class_name").select("doc_id", "company_name", "sample_text",
                                                "class_name", "class_number")
 
 
-LD_SQL = """ld AS (SELECT doc_id, source AS company_name, substring(text, 1, 80) AS sample_text,
+LD_SQL = """ld AS (SELECT doc_id, source AS company_name, text AS sample_text,
                  lang AS class_name, CAST(dense_rank() OVER (ORDER BY lang) AS INTEGER) AS class_number
           FROM documents)"""
 
@@ -104,26 +104,26 @@ def option_texts_sql(options: str) -> str:
 
 def conversation_examples(conversations: DataFrame) -> DataFrame:
     """Conversation turns as flat examples: company = ``conv_<id>``, pos =
-    turn, sample text = first 80 characters, class = role, class number =
-    turn, row id = conv_id * 100 + turn.  User turns of conversations whose
-    id is not a multiple of 3 carry an entity annotation (their first word,
-    lower-cased); all other rows have none."""
+    turn, sample text = the whole text, class = role, class number =
+    turn, row id = conv_id * 100 + turn.  User turns that contain a comma
+    carry an entity annotation (their first word, lower-cased); all other
+    rows have none."""
     txt = F.col("text")
-    ent = F.when((F.col("role") == "user") & (F.col("conv_id") % 3 != 0),
+    ent = F.when((F.col("role") == "user") & (F.instr(txt, ",") > 0),
                  F.lower(F.split_part(txt, F.lit(" "), F.lit(1))))
     return conversations.select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("id"),
         F.concat(F.lit("conv_"), F.col("conv_id").cast("string")).alias("company_name"),
         F.col("turn").alias("pos"),
-        F.substring(txt, 1, 80).alias("sample_text"),
+        txt.alias("sample_text"),
         F.col("role").alias("class_name"),
         F.col("turn").cast("int").alias("class_number"),
         ent.alias("entity_action"))
 
 
 CONV_SQL = """cx AS (SELECT conv_id * 100 + turn AS id, 'conv_' || CAST(conv_id AS VARCHAR) AS company_name,
-                 turn AS pos, substring(text, 1, 80) AS sample_text, role AS class_name,
+                 turn AS pos, text AS sample_text, role AS class_name,
                  CAST(turn AS INTEGER) AS class_number,
-                 CASE WHEN role = 'user' AND conv_id % 3 <> 0 THEN lower(split_part(text, ' ', 1)) END
+                 CASE WHEN role = 'user' AND instr(text, ',') > 0 THEN lower(split_part(text, ' ', 1)) END
                    AS entity_action
           FROM conversations)"""
