@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 
@@ -20,3 +21,125 @@ def top1_label(scores, labels=None, digits: int = 6) -> list[Column]:
     if labels is not None:
         out.append(F.element_at(_c(labels), pos.cast("int")).alias("top_label"))
     return out
+
+
+# --------------------------------------------------------------------------
+# offline lexical scorer and the pluggable scoring hook
+# --------------------------------------------------------------------------
+from collections.abc import Callable, Iterator  # noqa: E402
+
+import pandas as pd  # noqa: E402
+from pyspark.sql import DataFrame  # noqa: E402
+
+from labelflow.operators.matching import MAX_INLINE_LABELS, _bounded_labels  # noqa: E402,F401
+
+
+def token_set(col) -> Column:
+    """Distinct lower-cased whitespace tokens."""
+    c = F.lower(_c(col))
+    return F.array_distinct(F.filter(F.split(c, r"\s+"), lambda t: t != F.lit("")))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    u = F.size(F.array_union(a, b))
+    return F.when(u == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / u)
+
+
+def _labels_raw(labels: DataFrame, label_col: str, limit: int) -> tuple[list[str], bool]:
+    rows = (labels.select(F.col(label_col).alias("_l")).where(F.col("_l").isNotNull()).distinct()
+                  .limit(limit + 1).collect())
+    vals = sorted(r["_l"] for r in rows)
+    return vals, len(vals) <= limit
+
+
+def lexical_zero_shot(df: DataFrame, text_col: str, labels: DataFrame, label_col: str,
+                      out_col: str = "prediction",
+                      max_inline_labels: int = MAX_INLINE_LABELS) -> DataFrame:
+    """Offline stand-in for a zero-shot model: the label whose token set has
+    the largest Jaccard similarity with the text's (ties: label ascending).
+    Scored once per distinct text, natively, against a bounded label array."""
+    labs, inline = _labels_raw(labels, label_col, max_inline_labels)
+    if not inline:
+        raise ValueError(f"more than {max_inline_labels} labels: use score_prompts with a "
+                         "model-backed scorer for open label sets")
+    texts = df.select(F.col(text_col).alias("_x")).distinct()
+    tt = token_set("_x")
+    arr = F.array(*[F.lit(x) for x in labs]) if labs else F.array().cast("array<string>")
+    best = F.array_min(F.transform(arr, lambda l: F.struct((-jaccard(tt, token_set(l))).alias("s"),
+                                                           l.alias("l"))))
+    mapping = texts.select("_x", best["l"].alias(out_col))
+    return df.join(mapping, F.col(text_col).eqNullSafe(F.col("_x")), "left").drop("_x")
+
+
+class LexicalScorer:
+    """Python twin of :func:`lexical_zero_shot` implementing the scorer
+    protocol: ``predict(texts) -> predictions``."""
+
+    def __init__(self, labels: list[str]):
+        self.labels = sorted(labels)
+        self.tokens = [set(x.lower().split()) for x in self.labels]
+
+    def predict(self, texts: list[str]) -> list[str]:
+        out = []
+        for t in texts:
+            ts = set((t or "").lower().split())
+            best = None
+            for lab, lt in zip(self.labels, self.tokens):
+                u = len(ts | lt)
+                s = (len(ts & lt) / u) if u else 0.0
+                if best is None or s > best[0]:
+                    best = (s, lab)
+            out.append(best[1] if best else None)
+        return out
+
+
+class LongestTokensExtractor:
+    """Offline keyword extractor: the ``k`` longest whitespace tokens (first
+    occurrence wins ties), in text order of their ranks."""
+
+    def __init__(self, k: int = 1):
+        self.k = k
+
+    def predict(self, texts: list[str]) -> list[str]:
+        out = []
+        for t in texts:
+            toks = (t or "").split()
+            order = sorted(range(len(toks)), key=lambda i: (-len(toks[i]), i))[: self.k]
+            out.append(" ".join(toks[i] for i in order))
+        return out
+
+
+def score_prompts(df: DataFrame, prompt_col: str, scorer_factory: Callable[[], object],
+                  out_col: str = "prediction") -> DataFrame:
+    """Run a text model over every prompt in Arrow batches.
+
+    ``scorer_factory`` is called once per task (model weights load once per
+    executor core); its ``predict(list[str]) -> list[str]`` gets whole
+    batches, never single rows.  Input columns pass through unchanged.
+    """
+    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = scorer_factory()
+        for pdf in batches:
+            pdf[out_col] = model.predict(pdf[prompt_col].tolist())
+            yield pdf
+
+    return df.mapInPandas(run, schema)
+
+
+def longest_tokens(col, k: int = 1) -> Column:
+    """Native twin of :class:`LongestTokensExtractor`."""
+    toks = F.filter(F.split(_c(col), r"\s+"), lambda t: t != F.lit(""))
+    ranked = F.transform(toks, lambda t, i: F.struct((-F.length(t)).alias("neg"), i.alias("i"),
+                                                     t.alias("t")))
+    return F.array_join(F.transform(F.slice(F.array_sort(ranked), 1, k), lambda x: x["t"]), " ")
+
+
+def two_stage_predict(df: DataFrame, text_col: str, extractor_factory, scorer_factory,
+                      out_col: str = "prediction") -> DataFrame:
+    """Extract keywords with one scorer, classify them with another; the
+    original text is kept in ``original``."""
+    staged = score_prompts(df.withColumn("original", F.col(text_col)), "original",
+                           extractor_factory, "extracted")
+    return score_prompts(staged, "extracted", scorer_factory, out_col)
