@@ -8,7 +8,11 @@ exemplar window -> broadcast-checked exemplar matrix -> per-batch BLAS top-n
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from labelflow.functions.hashing import DEFAULT_SEED
@@ -43,3 +47,88 @@ def nearest_exemplar_classify(df: DataFrame, id_col: str = "vec_id", vec_col: st
 def flagship_report(df: DataFrame, **kw) -> DataFrame:
     """Nearest-exemplar classification followed by the classification report."""
     return classification_report(nearest_exemplar_classify(df, **kw), "y", "prediction")
+
+
+# --------------------------------------------------------------------------
+# retrieval-augmented prompting and few-shot evaluation
+# --------------------------------------------------------------------------
+from labelflow.functions.prompts import build_prompt  # noqa: E402
+from labelflow.operators.matching import option_to_category  # noqa: E402
+from labelflow.operators.options import prompt_options_topn  # noqa: E402
+
+
+def retrieve(df: DataFrame, id_col: str, vec_col: str, class_col: str, text_col: str | None,
+             n_shot: int, top_n: int, seed=DEFAULT_SEED) -> tuple[DataFrame, DataFrame]:
+    """(ranked options per query, queries).
+
+    ``n_shot`` exemplars per class (``n_shot == 0``: one option per class
+    whose text is the class name, with the class's first exemplar vector);
+    every query gets its ``top_n`` most similar exemplars as options
+    ``(id, rnk, exemplar_id, sim, option_text, category)``.
+    """
+    ex, queries = split_exemplars(df, id_col, class_col, max(n_shot, 1), seed)
+    text = F.col(class_col).cast("string") if (n_shot == 0 or text_col is None) else F.col(text_col)
+    ex = ex.select(F.col(id_col).alias("exemplar_id"), F.col(vec_col).alias("embedding"),
+                   text.alias("option_text"), F.col(class_col).cast("string").alias("category"))
+    q = queries.select(id_col, F.col(vec_col).alias("embedding"))
+    ranked = similarity_topn(q, ex, top_n, q_id=id_col, e_payload=("option_text", "category"))
+    return ranked, queries
+
+
+def retrieve_then_prompt(df: DataFrame, id_col: str, vec_col: str, class_col: str,
+                         query_text, text_col: str | None = None, n_shot: int = 5,
+                         top_n: int = 5) -> DataFrame:
+    """Per query: the ``Options:`` block of its retrieved exemplars and the
+    prompt built from it: ``(id, prompt_options, prompt)``."""
+    ranked, queries = retrieve(df, id_col, vec_col, class_col, text_col, n_shot, top_n)
+    opts = prompt_options_topn(ranked, id_col, "rnk", "option_text")
+    qt = queries.select(id_col, query_text.alias("_qt"))
+    return (qt.join(opts, id_col)
+              .select(id_col, "prompt_options",
+                      build_prompt("_qt", "prompt_options", no_company_specific=True).alias("prompt")))
+
+
+def vote_scorer(ranked: DataFrame, id_col: str) -> DataFrame:
+    """Offline scorer over retrieved options: the option text chosen by most
+    of the retrieved exemplars (ties: the best-ranked one), answered as the
+    model would: ``'Class name: <text>'``."""
+    votes = ranked.groupBy(id_col, "option_text").agg(F.count(F.lit(1)).alias("_v"),
+                                                       F.min("rnk").alias("_r"))
+    best = votes.groupBy(id_col).agg(F.min(F.struct((-F.col("_v")).alias("v"), F.col("_r").alias("r"),
+                                                    F.col("option_text").alias("t"))).alias("_b"))
+    return best.select(id_col, F.concat(F.lit("Class name: "), F.col("_b.t")).alias("raw_prediction"))
+
+
+def fewshot_evaluate(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
+                     class_col: str = "label", text_col: str | None = None, n_shot: int = 5,
+                     top_n: int = 5, predictions: DataFrame | None = None,
+                     seed=DEFAULT_SEED) -> tuple[DataFrame, DataFrame]:
+    """(scored rows, report).
+
+    Retrieve ``top_n`` exemplars per query, obtain a raw prediction (from
+    ``predictions`` = ``(id, raw_prediction)`` produced by any scorer over
+    the prompts, or from :func:`vote_scorer`), snap the lower-cased
+    prediction onto the row's lower-cased options, map the chosen option to
+    its category (first in rank order) and report ``y`` against it.
+    """
+    from labelflow.functions.text import extract_class_name
+
+    ranked, queries = retrieve(df, id_col, vec_col, class_col, text_col, n_shot, top_n, seed)
+    raw = predictions if predictions is not None else vote_scorer(ranked, id_col)
+    opts = ranked.groupBy(id_col).agg(F.collect_list(F.lower("option_text")).alias("_opts"))
+    scored = (queries.select(id_col, F.lower(F.col(class_col).cast("string")).alias("y"))
+                     .join(raw, id_col).join(opts, id_col)
+                     .withColumn("original_prediction", extract_class_name("raw_prediction")))
+    # exact option hits settle most rows natively; the rest use stdlib difflib
+    hit = F.array_contains("_opts", F.col("original_prediction"))
+    @F.pandas_udf(T.StringType())
+    def nearest(words: pd.Series, options: pd.Series) -> pd.Series:
+        return pd.Series([difflib.get_close_matches(w, list(o), n=1, cutoff=0.0)[0] if len(o) else None
+                          for w, o in zip(words, options)])
+
+    scored = scored.withColumn("v_pred", F.when(hit, F.col("original_prediction"))
+                               .otherwise(nearest("original_prediction", "_opts"))).drop("_opts")
+    resolved = option_to_category(scored, ranked, id_col, "v_pred", "option_text", "category",
+                                  out_col="few_shot")
+    resolved = resolved.withColumn("resolved_label", F.lower("few_shot"))
+    return resolved, classification_report(resolved, "y", "resolved_label")

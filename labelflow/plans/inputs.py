@@ -24,15 +24,21 @@ from labelflow.functions.text import extract_class_name
 LANG_CYCLE = ("de", "en", "es", "fr")
 
 
+def rule_p_raw(id_col: str = "doc_id", lang_col: str = "lang"):
+    """The raw model answer of rule P as a column expression."""
+    b = F.pmod(det_hash(id_col), F.lit(10))
+    lang = F.col(lang_col)
+    nxt = (F.when(lang == "de", "en").when(lang == "en", "es").when(lang == "es", "fr")
+             .otherwise("de"))
+    return (F.when(b < 7, F.concat(F.lit("Class name: "), F.upper(lang)))
+             .when(b < 9, nxt).otherwise(F.lit("unknown")))
+
+
 def rule_p(documents: DataFrame) -> DataFrame:
     """(doc_id, y, raw_prediction, prediction, dataset_name, model_name, n_chars)."""
     h = det_hash("doc_id")
-    b = F.pmod(h, F.lit(10))
     lang = F.col("lang")
-    nxt = (F.when(lang == "de", "en").when(lang == "en", "es").when(lang == "es", "fr")
-             .otherwise("de"))
-    raw = (F.when(b < 7, F.concat(F.lit("Class name: "), F.upper(lang)))
-             .when(b < 9, nxt).otherwise(F.lit("unknown")))
+    raw = rule_p_raw()
     out = documents.select(
         "doc_id", lang.alias("y"), raw.alias("raw_prediction"),
         F.col("source").alias("dataset_name"),

@@ -32,6 +32,7 @@ def register(key: str, sql: str | None = None):
 def load_all() -> None:
     """Import every catalog module so that its queries register."""
     from labelflow.plans import (catalog_eval, catalog_sampling,  # noqa: F401
-                                 catalog_matching, catalog_prepare, catalog_similarity,
+                                 catalog_fewshot, catalog_matching, catalog_prepare,
+                                 catalog_similarity,
                                  catalog_text,
                                  catalog_taxonomy)
