@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelflow.functions import prompts as P
-from labelflow.functions.hashing import det_hash_sql
+from labelflow.functions.hashing import det_hash, det_hash_sql
 from labelflow.functions.sqltext import sql_render
 from labelflow.operators.options import prompt_options_company
 from labelflow.operators.sampling import exact_split
@@ -93,24 +93,28 @@ SELECT company_name, (row_number() OVER (PARTITION BY company_name ORDER BY pos)
        sample_text, class_name FROM cx""")
 def q_explode_examples(spark, sf):
     nest = nested.nest_examples(_conv(spark, sf))
-    return nested.explode_examples(nest).select("company_name", "pos", "sample_text", "class_name")
+    # as a hand-made file holds it: no stored positions, array order only
+    plain = nest.withColumn("Examples", F.transform("Examples", lambda e: e.dropFields("pos")))
+    return nested.explode_examples(plain).select("company_name", "pos", "sample_text", "class_name")
+
+
+EX_SUM_SQL = det_hash_sql("CAST(doc_id AS VARCHAR) || '|' || sample_text || '|' || class_name || '|' || "
+                          "CAST(class_number AS VARCHAR)")
 
 
 @register("write_nested_dataset", f"""WITH {LD_SQL}
-SELECT company_name, count(*)::BIGINT AS n_examples,
-       md5(string_agg(sample_text || '|' || class_name || '|' || class_number, chr(10) ORDER BY doc_id))
-         AS examples_md5
+SELECT company_name, count(*)::BIGINT AS n_examples, sum({EX_SUM_SQL})::BIGINT AS examples_checksum
 FROM ld GROUP BY company_name""")
 def q_write_nested_dataset(spark, sf):
     nest = nested.nest_examples(_ld(spark, sf), pos_col="doc_id")
     path = scratch_path(spark, "nested")
     nested.write_nested_dataset(nest, path)
-    back = nested.read_nested_dataset(spark, path, multi_line=False)
-    line = F.transform("Examples", lambda e: F.concat_ws("|", e["sample_text"], e["class"],
-                                                          e.getField("class number").cast("string")))
-    return back.select(F.col("`Company Name`").alias("company_name"),
-                       F.size("Examples").cast("bigint").alias("n_examples"),
-                       F.md5(F.array_join(line, "\n")).alias("examples_md5"))
+    back = nested.explode_examples(nested.read_nested_dataset(spark, path, multi_line=False))
+    # order-sensitive checksum per company: a sum, so no company is gathered
+    line = F.concat_ws("|", F.col("pos").cast("string"), "sample_text", "class_name",
+                       F.col("class_number").cast("string"))
+    return back.groupBy("company_name").agg(F.count(F.lit(1)).alias("n_examples"),
+                                            F.sum(det_hash(line)).alias("examples_checksum"))
 
 
 @register("read_nested_dataset", f"""WITH {CONV_SQL}
@@ -120,15 +124,7 @@ def q_read_nested_dataset(spark, sf):
     path = scratch_path(spark, "nested-conv")
     nested.write_nested_dataset(nested.nest_examples(flat, entity_col="entity_action"), path)
     back = nested.read_nested_dataset(spark, path, multi_line=False)
-    ex = nested.explode_examples(back)
-    # positions in the file are 0-based array positions; map back to turns
-    turns = flat.select("company_name", "pos").withColumnRenamed("pos", "turn")
-    from pyspark.sql import Window
-    w = Window.partitionBy("company_name").orderBy("turn")
-    turns = turns.withColumn("pos", (F.row_number().over(w) - 1).cast("bigint"))
-    return (ex.join(turns, ["company_name", "pos"])
-              .select("company_name", F.col("turn").alias("pos"), "sample_text", "class_name",
-                      "class_number", "entity_action"))
+    return nested.explode_examples(back)
 
 
 CSV_SQL = f"""WITH {RULE_P_SQL}
@@ -172,14 +168,9 @@ SELECT doc_id, company_name, class_name FROM ld WHERE company_name IN ('src1', '
 def q_filter_datasets(spark, sf):
     nest = nested.nest_examples(_ld(spark, sf), pos_col="doc_id")
     kept = nested.filter_datasets(nest, "src1 src2 src3")
-    ex = nested.explode_examples(kept)
-    # array positions -> doc ids: the nested rows were ordered by doc_id
-    ids = _ld(spark, sf).select("company_name", "doc_id")
-    from pyspark.sql import Window
-    w = Window.partitionBy("company_name").orderBy("doc_id")
-    ids = ids.filter(F.col("company_name").isin("src1", "src2", "src3")).withColumn(
-        "pos", (F.row_number().over(w) - 1).cast("bigint"))
-    return ex.join(ids, ["company_name", "pos"]).select("doc_id", "company_name", "class_name")
+    # the stored example positions are the doc ids
+    return nested.explode_examples(kept).select(F.col("pos").alias("doc_id"), "company_name",
+                                                "class_name")
 
 
 @register("prepare_labelled_table", f"""WITH {PREP_SQL}

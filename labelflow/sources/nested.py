@@ -2,8 +2,13 @@
 
 Read with an explicit schema (``Taxonomy`` is never read: writers store it as
 an array in one file and as an empty object in another, so inference would
-disagree between files).  ``explode_examples`` flattens with the array
-position, which later stands in for table order.
+disagree between files).  ``explode_examples`` flattens with the example's
+stored ``pos`` when present, else its array position.
+
+Scale: a company is not one record.  ``nest_examples`` cuts each company
+into records of at most ``max_examples`` examples (by ranges of the order
+column), so no task ever holds a whole company; readers treat repeated
+company names as one company.
 """
 
 from __future__ import annotations
@@ -17,6 +22,8 @@ EXAMPLE_TYPE = T.StructType([
     T.StructField("class", T.StringType()),
     T.StructField("class number", T.IntegerType()),
     T.StructField("entity_action", T.StringType()),
+    # written by nest_examples; absent (null) in hand-made files
+    T.StructField("pos", T.LongType()),
 ])
 NESTED_SCHEMA = T.StructType([
     T.StructField("Company Name", T.StringType()),
@@ -37,12 +44,21 @@ def filter_datasets(nested: DataFrame, names: str | list[str]) -> DataFrame:
     return nested.filter(F.col("`Company Name`").isin(list(names)))
 
 
+# examples per written record (bounds the task that assembles one record)
+MAX_EXAMPLES_PER_RECORD = 10_000
+
+
 def explode_examples(nested: DataFrame) -> DataFrame:
     """One row per example with the company copied down:
-    ``company_name, pos, sample_text, class_name, class_number, entity_action``."""
+    ``company_name, pos, sample_text, class_name, class_number, entity_action``.
+    ``pos`` is the stored position when the file has one, else the array
+    position (one record per company, as hand-made files hold it)."""
     ex = nested.select(F.col("`Company Name`").alias("company_name"),
-                       F.posexplode("Examples").alias("pos", "e"))
-    return ex.select("company_name", F.col("pos").cast("bigint").alias("pos"),
+                       F.posexplode("Examples").alias("_i", "e"))
+    stored = ([F.col("e.pos")] if "pos" in nested.schema["Examples"].dataType.elementType.names
+              else [])
+    pos = F.coalesce(*stored, F.col("_i").cast("bigint"))
+    return ex.select("company_name", pos.alias("pos"),
                      F.col("e.sample_text").alias("sample_text"),
                      F.col("e.class").alias("class_name"),
                      F.col("e.`class number`").alias("class_number"),
@@ -52,17 +68,22 @@ def explode_examples(nested: DataFrame) -> DataFrame:
 def nest_examples(flat: DataFrame, company_col: str = "company_name", pos_col: str = "pos",
                   text_col: str = "sample_text", class_col: str = "class_name",
                   number_col: str = "class_number",
-                  entity_col: str | None = None) -> DataFrame:
-    """Regroup flat rows into ``{Company Name, Examples: [...]}`` ordered by
-    ``pos``.  One group per company: its size is bounded by the sampler that
-    builds such datasets upstream."""
-    fields = [F.col(pos_col).alias("_pos"), F.col(text_col).alias("sample_text"),
+                  entity_col: str | None = None,
+                  max_examples: int = MAX_EXAMPLES_PER_RECORD) -> DataFrame:
+    """Regroup flat rows into ``{Company Name, Examples: [...]}`` records
+    ordered by ``pos`` (integers, unique within a company).  A record covers
+    one range ``[k*max_examples, (k+1)*max_examples)`` of ``pos``, so it
+    holds at most ``max_examples`` examples however large the company."""
+    fields = [F.col(pos_col).cast("bigint").alias("_pos"), F.col(text_col).alias("sample_text"),
               F.col(class_col).alias("class"), F.col(number_col).cast("int").alias("class number")]
     fields.append((F.col(entity_col) if entity_col else F.lit(None).cast("string"))
                   .alias("entity_action"))
-    g = flat.groupBy(company_col).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_ex"))
+    chunk = F.floor(F.col(pos_col) / F.lit(max_examples)).alias("_chunk")
+    g = (flat.groupBy(company_col, chunk)
+             .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_ex")))
     return g.select(F.col(company_col).alias("Company Name"),
-                    F.transform("_ex", lambda e: e.dropFields("_pos")).alias("Examples"))
+                    F.transform("_ex", lambda e: e.withField("pos", e["_pos"]).dropFields("_pos"))
+                     .alias("Examples"))
 
 
 def write_nested_dataset(nested: DataFrame, path: str, mode: str = "overwrite") -> None:
