@@ -57,17 +57,29 @@ def lexical_zero_shot(df: DataFrame, text_col: str, labels: DataFrame, label_col
                       max_inline_labels: int = MAX_INLINE_LABELS) -> DataFrame:
     """Offline stand-in for a zero-shot model: the label whose token set has
     the largest Jaccard similarity with the text's (ties: label ascending).
-    Scored once per distinct text, natively, against a bounded label array."""
+    Scored once per distinct text, natively, against a bounded label array;
+    larger label sets are cut into blocks joined on (block, text chunk) keys
+    and the per-block winners are merged with one ``min`` per text."""
     labs, inline = _labels_raw(labels, label_col, max_inline_labels)
-    if not inline:
-        raise ValueError(f"more than {max_inline_labels} labels: use score_prompts with a "
-                         "model-backed scorer for open label sets")
     texts = df.select(F.col(text_col).alias("_x")).distinct()
-    tt = token_set("_x")
-    arr = F.array(*[F.lit(x) for x in labs]) if labs else F.array().cast("array<string>")
-    best = F.array_min(F.transform(arr, lambda l: F.struct((-jaccard(tt, token_set(l))).alias("s"),
-                                                           l.alias("l"))))
-    mapping = texts.select("_x", best["l"].alias(out_col))
+
+    def best_of(text: Column, arr: Column) -> Column:
+        tt = token_set(text)
+        return F.array_min(F.transform(arr, lambda l: F.struct((-jaccard(tt, token_set(l))).alias("s"),
+                                                               l.alias("l"))))
+
+    if inline:
+        arr = F.array(*[F.lit(x) for x in labs]) if labs else F.array().cast("array<string>")
+        mapping = texts.select("_x", best_of(F.col("_x"), arr)["l"].alias(out_col))
+    else:
+        from labelflow.operators.matching import _blocked, _label_blocks
+
+        chunks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = _label_blocks(labels, label_col, max_inline_labels, chunks, lower=False)
+        j = _blocked(texts.withColumnRenamed("_x", "_p"), blocks, chunks)
+        mapping = (j.select(F.col("_p").alias("_x"), best_of(F.col("_p"), F.col("_labs")).alias("_b"))
+                    .groupBy("_x").agg(F.min("_b").alias("_b"))
+                    .select("_x", F.col("_b.l").alias(out_col)))
     return df.join(mapping, F.col(text_col).eqNullSafe(F.col("_x")), "left").drop("_x")
 
 

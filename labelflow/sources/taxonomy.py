@@ -92,8 +92,11 @@ def map_labels(df: DataFrame, label_col: str, taxonomy: DataFrame, out_col: str
                keep_original: str | None = "orig_label", drop_unmapped: bool = True) -> DataFrame:
     """Look ``label_col`` up in ``taxonomy``; rows without a mapping are
     dropped (inner join) or kept with a null name (left join).  The
-    taxonomy is a literal dimension of bounded size, hence broadcast."""
-    dim = F.broadcast(taxonomy.select(F.col("key").alias("_key"), F.col("name").alias("_name")))
+    taxonomy is broadcast after its size is checked; a large one is
+    shuffle-joined."""
+    from labelflow.operators.joins import bounded_broadcast
+
+    dim = bounded_broadcast(taxonomy.select(F.col("key").alias("_key"), F.col("name").alias("_name")))
     src = df.withColumn(keep_original, F.col(label_col)) if keep_original else df
     how = "inner" if drop_unmapped else "left"
     j = src.join(dim, F.col(label_col).cast("string") == F.col("_key"), how)

@@ -34,3 +34,12 @@ def test_two_stage_keeps_original(spark):
     assert [r.original for r in rows] == TEXTS[:4]
     assert all(r.prediction in LABELS for r in rows)
     assert out.filter(F.col("extracted").isNull()).count() == 0
+
+
+def test_lexical_blocked_plan_matches_inline(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id long, text string")
+    labels = spark.createDataFrame([(x,) for x in LABELS], "label string")
+    inline = {r.id: r.prediction for r in lexical_zero_shot(df, "text", labels, "label").collect()}
+    blocked = {r.id: r.prediction
+               for r in lexical_zero_shot(df, "text", labels, "label", max_inline_labels=2).collect()}
+    assert blocked == inline
