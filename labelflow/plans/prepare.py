@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from labelflow.functions.hashing import DEFAULT_SEED, det_hash
 from labelflow.functions.prompts import build_prompt, entity_prompt, pair_prompt
+from labelflow.operators.joins import bounded_broadcast
 from labelflow.operators.options import prompt_options_company
 from labelflow.operators.sampling import exact_split
 
@@ -82,16 +83,22 @@ def same_intent_pairs(df: DataFrame, class_col: str = "class_name",
     Returns ``class_name, pair_no, first_id, second_id, generator_text,
     generator_text_no_company, generator_labels``.
     """
-    dedup = df.groupBy(class_col, text_col).agg(F.min(id_col).alias(id_col))
+    # texts compare by their md5 digest: the shuffle moves 32-byte keys, not
+    # the texts; only the <= 8 drawn rows per class fetch their text back
+    keyed = df.select(class_col, id_col, F.md5(F.col(text_col)).alias("_t"))
+    dedup = keyed.groupBy(class_col, "_t").agg(F.min(id_col).alias(id_col))
     top = max(PAIR_SIZES)
     w = Window.partitionBy(class_col).orderBy(det_hash(id_col, seed), id_col)
     ranked = dedup.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top)
     sized = ranked.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy(class_col)))
-    kept = sized.filter(F.col("_r") <= F.floor(F.col("_c") / 2) * 2)
-    pairs = (kept.withColumn("pair_no", F.floor((F.col("_r") + 1) / 2).cast("bigint"))
-                 .groupBy(class_col, "pair_no")
-                 .agg(F.min_by(F.struct(id_col, text_col), "_r").alias("a"),
-                      F.max_by(F.struct(id_col, text_col), "_r").alias("b")))
+    kept = (sized.filter(F.col("_r") <= F.floor(F.col("_c") / 2) * 2)
+                 .select(F.col(class_col).alias("_cls"), F.col(id_col).alias("_id"), "_r"))
+    texts = df.select(class_col, id_col, text_col).join(
+        bounded_broadcast(kept), (F.col(id_col) == F.col("_id")) & (F.col(class_col) == F.col("_cls")))
+    pairs = (texts.withColumn("pair_no", F.floor((F.col("_r") + 1) / 2).cast("bigint"))
+                  .groupBy(class_col, "pair_no")
+                  .agg(F.min_by(F.struct(id_col, text_col), "_r").alias("a"),
+                       F.max_by(F.struct(id_col, text_col), "_r").alias("b")))
     prompt = pair_prompt(F.col(f"a.{text_col}"), F.col(f"b.{text_col}"))
     return pairs.select(F.col(class_col), "pair_no",
                         F.col(f"a.{id_col}").alias("first_id"),
