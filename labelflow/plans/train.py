@@ -4,6 +4,10 @@ Re-aimed from fine-tuning a sequence model: ``RegexTokenizer -> HashingTF ->
 IDF -> LogisticRegression`` trained on the train split, evaluated on the
 test split with the package's own weighted P/R/F1 and accuracy.  Training is
 distributed (treeAggregate per iteration); nothing is collected.
+
+The split table is checkpointed once into the shared checkpoint folder: every
+pipeline stage rescans its input, and without the cut each scan would redo
+the split's shuffles; the checkpoint also survives executor loss.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from pyspark.sql import functions as F
 
 from labelflow.operators.metrics import accuracy, weighted_prf
 from labelflow.operators.sampling import exact_split
+from labelflow.session import cut_lineage
 
 
 def train_text_classifier(df: DataFrame, id_col: str, text_col: str, label_col: str,
@@ -26,7 +31,7 @@ def train_text_classifier(df: DataFrame, id_col: str, text_col: str, label_col:
     Returns ``{"model", "predictions", "metrics"}``; ``metrics`` is one row
     ``(accuracy, f1, precision, recall)``.
     """
-    split = exact_split(df.select(id_col, text_col, label_col), id_col, test_fraction)
+    split = cut_lineage(exact_split(df.select(id_col, text_col, label_col), id_col, test_fraction))
     train = split.filter(F.col("split") == "train")
     test = split.filter(F.col("split") == "test")
     indexer = StringIndexer(inputCol=label_col, outputCol="_y", handleInvalid="keep")
