@@ -62,18 +62,32 @@ def ngrams(tokens, max_order: int = MAX_ORDER) -> Column:
     return F.concat(*per_order)
 
 
-def bleu_stats(df: DataFrame, hyp_col: str, ref_col: str, id_col: str) -> DataFrame:
-    """One row: ``correct_1..4, total_1..4, sys_len, ref_len``."""
-    tok = df.select(F.col(id_col).alias("_rid"), tokenize_13a(hyp_col).alias("_h"),
+def bleu_stats(df: DataFrame, hyp_col: str, ref_col: str, id_col: str,
+               clustered_by: tuple[str, ...] = ()) -> DataFrame:
+    """One row: ``correct_1..4, total_1..4, sys_len, ref_len``.
+
+    ``clustered_by`` names columns ``df`` is already hash-partitioned by
+    (e.g. the key of the window that paired hypotheses with references).
+    They join the per-row grouping keys, so the n-gram counts aggregate in
+    the same stage instead of shuffling every distinct n-gram."""
+    keys = [*clustered_by, "_rid"]
+    tok = df.select(*clustered_by, F.col(id_col).alias("_rid"), tokenize_13a(hyp_col).alias("_h"),
                     tokenize_13a(ref_col).alias("_r"))
-    lens = tok.select("_rid", F.lit(0).alias("n"), F.lit("").alias("gram"),
-                      F.size("_h").cast("bigint").alias("h"), F.size("_r").cast("bigint").alias("r"))
-    hg = tok.select("_rid", F.explode(ngrams("_h")).alias("g")).select(
-        "_rid", "g.n", "g.gram", F.lit(1).cast("bigint").alias("h"), F.lit(0).cast("bigint").alias("r"))
-    rg = tok.select("_rid", F.explode(ngrams("_r")).alias("g")).select(
-        "_rid", "g.n", "g.gram", F.lit(0).cast("bigint").alias("h"), F.lit(1).cast("bigint").alias("r"))
-    counts = (lens.unionByName(hg).unionByName(rg)
-                  .groupBy("_rid", "n", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r")))
+    # one array per row -- lengths, hypothesis grams, reference grams -- and
+    # one explode, so the input (and any window above it) is evaluated once
+    item = "struct<n:int,gram:string,h:bigint,r:bigint>"
+
+    def tagged(col, h, r):
+        return F.transform(ngrams(col), lambda g: F.struct(
+            g["n"].alias("n"), g["gram"].alias("gram"), F.lit(h).cast("bigint").alias("h"),
+            F.lit(r).cast("bigint").alias("r")))
+
+    lens = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("gram"),
+                            F.size("_h").cast("bigint").alias("h"), F.size("_r").cast("bigint").alias("r")))
+    rows = F.concat(lens.cast(f"array<{item}>"), tagged("_h", 1, 0), tagged("_r", 0, 1))
+    counts = (tok.select(*keys, F.explode(rows).alias("g"))
+                 .select(*keys, "g.n", "g.gram", "g.h", "g.r")
+                 .groupBy(*keys, "n", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r")))
     n = F.col("n")
     aggs = []
     for k in range(1, MAX_ORDER + 1):
@@ -111,6 +125,7 @@ def bleu_from_stats(stats: DataFrame) -> DataFrame:
                         *[F.round(p, DIGITS).alias(f"p{k}") for k, p in enumerate(precisions, 1)])
 
 
-def corpus_bleu(df: DataFrame, hyp_col: str, ref_col: str, id_col: str) -> DataFrame:
+def corpus_bleu(df: DataFrame, hyp_col: str, ref_col: str, id_col: str,
+                clustered_by: tuple[str, ...] = ()) -> DataFrame:
     """Corpus BLEU of hypotheses against single references (one-row result)."""
-    return bleu_from_stats(bleu_stats(df, hyp_col, ref_col, id_col))
+    return bleu_from_stats(bleu_stats(df, hyp_col, ref_col, id_col, clustered_by))

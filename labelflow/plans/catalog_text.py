@@ -80,14 +80,15 @@ def assistant_vs_user(conversations):
                              F.lag("role").over(w).alias("prev_role"),
                              F.lag("text").over(w).alias("prev_text"))
     return c.filter((F.col("role") == "assistant") & (F.col("prev_role") == "user")).select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("rid"),
+        "conv_id", (F.col("conv_id") * 100 + F.col("turn")).alias("rid"),
         F.col("text").alias("hyp"), F.col("prev_text").alias("ref"))
 
 
 @register("corpus_bleu", BLEU_SQL)
 def q_corpus_bleu(spark, sf):
     conv = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
-    return corpus_bleu(assistant_vs_user(conv), "hyp", "ref", "rid")
+    # the pairs come out of a window partitioned by conv_id: count there
+    return corpus_bleu(assistant_vs_user(conv), "hyp", "ref", "rid", clustered_by=("conv_id",))
 
 
 @register("token_profile", """SELECT source AS dataset_name, count(*) AS n,

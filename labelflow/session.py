@@ -24,6 +24,9 @@ def build_session(master: str | None = None, app_name: str = "labelflow",
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # small but CPU-heavy inputs (texts exploded into n-grams) keep a
+        # few tasks instead of being coalesced into one
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
