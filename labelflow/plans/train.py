@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, IndexToString, RegexTokenizer, StringIndexer
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +34,13 @@ def train_text_classifier(df: DataFrame, id_col: str, text_col: str, label_col:
     split = cut_lineage(exact_split(df.select(id_col, text_col, label_col), id_col, test_fraction))
     train = split.filter(F.col("split") == "train")
     test = split.filter(F.col("split") == "test")
-    indexer = StringIndexer(inputCol=label_col, outputCol="_y", handleInvalid="keep")
+    # "keep" lets test rows with labels unseen in training through; the cast
+    # drops the indexer's metadata (which counts an extra "unseen" class) so
+    # the classifier learns exactly the classes present in training
+    indexer = StringIndexer(inputCol=label_col, outputCol="_yi", handleInvalid="keep")
     stages = [
         indexer,
+        SQLTransformer(statement="SELECT *, CAST(_yi AS DOUBLE) AS _y FROM __THIS__"),
         RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\s+", toLowercase=True),
         HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
         IDF(inputCol="_tf", outputCol="_features"),
@@ -45,8 +49,10 @@ def train_text_classifier(df: DataFrame, id_col: str, text_col: str, label_col:
     ]
     model = Pipeline(stages=stages).fit(train)
     labels = model.stages[0].labels
-    scored = IndexToString(inputCol="_pred", outputCol="prediction", labels=labels).transform(
-        model.transform(test))
+    # class index -> label (the label list is the fitted vocabulary: bounded)
+    names = F.array(*[F.lit(x) for x in labels])
+    scored = model.transform(test).withColumn(
+        "prediction", F.try_element_at(names, F.col("_pred").cast("int") + 1))
     preds = scored.select(id_col, F.col(label_col).alias("y"), "prediction")
     prf = weighted_prf(preds)
     acc = accuracy(preds)
