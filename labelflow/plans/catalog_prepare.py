@@ -266,16 +266,17 @@ SELECT split, task, id, md5(generator_text) AS text_md5, generator_labels FROM a
 UNION ALL
 SELECT 'pairs', NULL, first_id, md5(generator_text), 'yes' FROM prt""")
 def q_preprocess(spark, sf):
-    train, test, pairs = _preprocess(spark, sf)
+    prep = _prepared(spark, sf).withColumnRenamed("doc_id", "id")
+    ent = _entity(spark, sf).select("id", "sample_text", "generator_text", "generator_labels",
+                                    "task", "generator_text_no_company")
+    table, pairs = PR.preprocess_table(prep, "id", entity=ent)
     cols = ["task", "id", F.md5("generator_text").alias("text_md5"), "generator_labels"]
-    out = (train.select(F.lit("train").alias("split"), *cols)
-           .unionByName(test.select(F.lit("test").alias("split"), *cols))
-           .unionByName(pairs.select(F.lit("pairs").alias("split"),
-                                     F.lit(None).cast("string").alias("task"),
-                                     F.col("first_id").alias("id"),
-                                     F.md5("generator_text").alias("text_md5"),
-                                     "generator_labels")))
-    return out
+    return (table.select("split", *cols)
+                 .unionByName(pairs.select(F.lit("pairs").alias("split"),
+                                           F.lit(None).cast("string").alias("task"),
+                                           F.col("first_id").alias("id"),
+                                           F.md5("generator_text").alias("text_md5"),
+                                           "generator_labels")))
 
 
 @register("multi_task_union", f"""{MULTI_SQL}

@@ -108,32 +108,38 @@ def same_intent_pairs(df: DataFrame, class_col: str = "class_name",
                         F.lit("yes").alias("generator_labels"))
 
 
-def preprocess(prepared: DataFrame, id_col: str = "doc_id", entity: DataFrame | None = None,
-               no_classification_task: bool = False, test_fraction: float = 0.2,
-               seed=DEFAULT_SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(train, test, pairs).
+def preprocess_table(prepared: DataFrame, id_col: str = "doc_id", entity: DataFrame | None = None,
+                     no_classification_task: bool = False, test_fraction: float = 0.2,
+                     seed=DEFAULT_SEED, split_col: str = "split") -> tuple[DataFrame, DataFrame]:
+    """(split table, pairs): every row once with ``split`` = train / test.
 
     Exact-size hash split of the prepared table; pairs are mined from the
     train rows only (no leak into test).  With ``entity`` rows, those are
     split the same way and unioned after removing classification rows whose
     text occurs among the entity texts; ``no_classification_task`` keeps only
-    the entity rows.
+    the entity rows.  One table with a split column renders each prompt once;
+    write it partitioned by ``split`` to get the train and test files.
     """
-    def split(df):
-        s = exact_split(df, id_col, test_fraction, seed=seed, split_col="_split")
-        return (s.filter(F.col("_split") == "train").drop("_split"),
-                s.filter(F.col("_split") == "test").drop("_split"))
-
-    train, test = split(prepared)
-    pairs = same_intent_pairs(train, id_col=id_col, seed=seed)
+    table = exact_split(prepared, id_col, test_fraction, seed=seed, split_col=split_col)
+    pairs = same_intent_pairs(table.filter(F.col(split_col) == "train").drop(split_col),
+                              id_col=id_col, seed=seed)
     if entity is not None:
-        e_train, e_test = split(entity)
+        e_table = exact_split(entity, id_col, test_fraction, seed=seed, split_col=split_col)
         if no_classification_task:
-            train, test = e_train, e_test
+            table = e_table
         else:
-            train = leak_anti_join(train, entity).unionByName(e_train, allowMissingColumns=True)
-            test = leak_anti_join(test, entity).unionByName(e_test, allowMissingColumns=True)
-    return train, test, pairs
+            table = leak_anti_join(table, entity).unionByName(e_table, allowMissingColumns=True)
+    return table, pairs
+
+
+def preprocess(prepared: DataFrame, id_col: str = "doc_id", entity: DataFrame | None = None,
+               no_classification_task: bool = False, test_fraction: float = 0.2,
+               seed=DEFAULT_SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(train, test, pairs) -- :func:`preprocess_table` cut by split."""
+    table, pairs = preprocess_table(prepared, id_col, entity, no_classification_task,
+                                    test_fraction, seed, split_col="_split")
+    return (table.filter(F.col("_split") == "train").drop("_split"),
+            table.filter(F.col("_split") == "test").drop("_split"), pairs)
 
 
 def augment_with_pairs(train: DataFrame, pairs: DataFrame) -> DataFrame:
