@@ -119,15 +119,20 @@ def fewshot_evaluate(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     scored = (queries.select(id_col, F.lower(F.col(class_col).cast("string")).alias("y"))
                      .join(raw, id_col).join(opts, id_col)
                      .withColumn("original_prediction", extract_class_name("raw_prediction")))
-    # exact option hits settle most rows natively; the rest use stdlib difflib
+    # exact option hits settle most rows natively; the rest use stdlib difflib.
+    # Spark evaluates a Python UDF on every row whatever CASE branch holds it,
+    # so hits are handed over as null and skipped inside the batch
     hit = F.array_contains("_opts", F.col("original_prediction"))
+
     @F.pandas_udf(T.StringType())
     def nearest(words: pd.Series, options: pd.Series) -> pd.Series:
-        return pd.Series([difflib.get_close_matches(w, list(o), n=1, cutoff=0.0)[0] if len(o) else None
+        return pd.Series([difflib.get_close_matches(w, list(o), n=1, cutoff=0.0)[0]
+                          if w is not None and len(o) else None
                           for w, o in zip(words, options)])
 
+    miss_word = F.when(~hit, F.col("original_prediction"))
     scored = scored.withColumn("v_pred", F.when(hit, F.col("original_prediction"))
-                               .otherwise(nearest("original_prediction", "_opts"))).drop("_opts")
+                               .otherwise(nearest(miss_word, "_opts"))).drop("_opts")
     resolved = option_to_category(scored, ranked, id_col, "v_pred", "option_text", "category",
                                   out_col="few_shot")
     resolved = resolved.withColumn("resolved_label", F.lower("few_shot"))
