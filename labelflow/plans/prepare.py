@@ -16,6 +16,7 @@ from labelflow.functions.prompts import build_prompt, entity_prompt, pair_prompt
 from labelflow.operators.joins import bounded_broadcast
 from labelflow.operators.options import prompt_options_company
 from labelflow.operators.sampling import exact_split
+from labelflow.session import cut_lineage
 
 CLASSIFICATION = "classification"
 ENTITY_EXTRACTION = "entity_extraction"
@@ -93,6 +94,10 @@ def same_intent_pairs(df: DataFrame, class_col: str = "class_name",
     sized = ranked.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy(class_col)))
     kept = (sized.filter(F.col("_r") <= F.floor(F.col("_c") / 2) * 2)
                  .select(F.col(class_col).alias("_cls"), F.col(id_col).alias("_id"), "_r"))
+    # the drawn rows (<= 8 per class) are materialised once in the shared
+    # checkpoint folder: the size check and the join then read that small
+    # table instead of recomputing the dedup and ranking
+    kept = cut_lineage(kept)
     texts = df.select(class_col, id_col, text_col).join(
         bounded_broadcast(kept), (F.col(id_col) == F.col("_id")) & (F.col(class_col) == F.col("_cls")))
     pairs = (texts.withColumn("pair_no", F.floor((F.col("_r") + 1) / 2).cast("bigint"))
