@@ -25,10 +25,12 @@ def token_count(col) -> Column:
 def token_profile(df: DataFrame, text_col: str, by: Sequence[str] = (),
                   limits: Sequence[int] = INPUT_LIMITS) -> DataFrame:
     """Rows, longest text and how many texts exceed each limit, per group."""
-    t = token_count(text_col)
+    # count once per text in a projection; the aggregates reuse the column
+    counted = df.select(*by, token_count(text_col).alias("_t"))
+    t = F.col("_t")
     aggs = [F.count(F.lit(1)).alias("n"), F.max(t).alias("max_tokens")]
     aggs += [F.count_if(t > lim).alias(f"n_over_{lim}") for lim in limits]
-    return df.groupBy(*by).agg(*aggs)
+    return counted.groupBy(*by).agg(*aggs)
 
 
 def truncate_tokens(col, limit: int) -> Column:
