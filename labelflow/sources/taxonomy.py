@@ -125,7 +125,11 @@ def present_labels(taxonomy: DataFrame, df: DataFrame, label_col: str) -> DataFr
 
 def l2_rollup(df: DataFrame, name_col: str, hierarchy: DataFrame) -> DataFrame:
     """Rows per level-2 group.  Many-to-many: a name in several groups counts
-    in each; names in no group count under a null group."""
+    in each; names in no group count under a null group.
+
+    Rows are counted per name first (map-side combine), so the join sees
+    one row per distinct name and a hot name cannot skew it."""
     h = hierarchy.select(F.col("l2"), F.col("name").alias("_name"))
-    j = df.select(F.col(name_col).alias("_name")).join(h, "_name", "left")
-    return j.groupBy("l2").agg(F.count(F.lit(1)).alias("n"))
+    per_name = df.groupBy(F.col(name_col).alias("_name")).agg(F.count(F.lit(1)).alias("_n"))
+    j = per_name.join(h, per_name["_name"] == h["_name"], "left")
+    return j.groupBy("l2").agg(F.sum("_n").cast("bigint").alias("n"))
