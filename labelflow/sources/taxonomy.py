@@ -118,8 +118,10 @@ def default_label_switch(df: DataFrame, key_col: str, name_col: str,
 
 
 def present_labels(taxonomy: DataFrame, df: DataFrame, label_col: str) -> DataFrame:
-    """Taxonomy entries whose key occurs in ``df`` (left semi join)."""
-    keys = df.select(F.col(label_col).cast("string").alias("key"))
+    """Taxonomy entries whose key occurs in ``df`` (left semi join).  The
+    keys are made distinct first: the partial aggregate leaves each task with
+    its few distinct labels, so the semi join never shuffles the table."""
+    keys = df.select(F.col(label_col).cast("string").alias("key")).distinct()
     return taxonomy.join(keys, "key", "left_semi")
 
 
