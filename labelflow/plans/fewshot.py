@@ -16,17 +16,27 @@ from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from labelflow.functions.hashing import DEFAULT_SEED
+from labelflow.operators.joins import bounded_broadcast
 from labelflow.operators.metrics import classification_report
 from labelflow.operators.sampling import top_k_per_group
 from labelflow.operators.similarity import similarity_topn
+from labelflow.session import cut_lineage
 
 
 def split_exemplars(df: DataFrame, id_col: str, class_col: str, n: int,
                     seed=DEFAULT_SEED) -> tuple[DataFrame, DataFrame]:
     """(exemplars, queries): ``n`` rows per class in hash order are the
-    exemplars; every other row is a query."""
-    ex = top_k_per_group(df, class_col, n, id_col, seed)
-    queries = df.join(ex.select(id_col), id_col, "left_anti")
+    exemplars; every other row is a query.
+
+    The ranking reads only (class, id); the chosen ids (n per class) and then
+    the exemplar rows are checkpointed into the shared checkpoint folder, so
+    the later size check, broadcast and anti join read those small tables
+    instead of rescanning the vectors."""
+    picked = cut_lineage(top_k_per_group(df.select(class_col, id_col), class_col, n, id_col, seed)
+                         .select(id_col))
+    ids = bounded_broadcast(picked)
+    ex = cut_lineage(df.join(ids, id_col, "left_semi"))
+    queries = df.join(ids, id_col, "left_anti")
     return ex, queries
 
 
