@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from labelflow.functions import text as tx
 from labelflow.operators import metrics as M
 from labelflow.operators.options import prompt_options_company
-from labelflow.plans.inputs import (LD_SQL, OPTS_SQL, RULE_P_SQL, extract_sql,
+from labelflow.plans.inputs import (LD_SQL, OPTS_SQL, RULE_P_SQL,
                                     labelled_documents, option_texts_sql, rule_p, strip_sql)
 from labelflow.plans.registry import register
 from labelflow.plans.sqlgen import report_sql

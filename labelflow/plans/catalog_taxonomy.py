@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelflow.operators import options as O
-from labelflow.operators.sampling import label_index  # noqa: F401
 from labelflow.plans.registry import register
 from labelflow.sources import taxonomy as TX
 from labelflow.sources.tables import read_table
