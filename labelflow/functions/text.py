@@ -71,3 +71,14 @@ def parse_json_field(col, field: str = "class_name") -> Column:
 def whitespace_tokens(col) -> Column:
     """Non-empty whitespace-separated tokens."""
     return F.filter(F.split(_c(col), r"\s+"), lambda t: t != F.lit(""))
+
+
+def string_array_literal(values) -> Column:
+    """A constant ``array<string>`` from a Python list in one expression: one
+    JSON literal that the optimizer folds into an array literal (thousands of
+    separate ``lit`` calls would each cost a round trip to the JVM)."""
+    import json
+
+    from pyspark.sql import types as T
+
+    return F.from_json(F.lit(json.dumps(list(values))), T.ArrayType(T.StringType()))

@@ -69,8 +69,9 @@ def lexical_zero_shot(df: DataFrame, text_col: str, labels: DataFrame, label_col
                                                                l.alias("l"))))
 
     if inline:
-        arr = F.array(*[F.lit(x) for x in labs]) if labs else F.array().cast("array<string>")
-        mapping = texts.select("_x", best_of(F.col("_x"), arr)["l"].alias(out_col))
+        from labelflow.functions.text import string_array_literal
+
+        mapping = texts.select("_x", best_of(F.col("_x"), string_array_literal(labs))["l"].alias(out_col))
     else:
         from labelflow.operators.matching import _blocked, _label_blocks
 
