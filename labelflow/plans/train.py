@@ -18,6 +18,7 @@ from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer, S
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelflow.functions.text import string_array_literal
 from labelflow.operators.metrics import accuracy, weighted_prf
 from labelflow.operators.sampling import exact_split
 from labelflow.session import cut_lineage
@@ -50,7 +51,7 @@ def train_text_classifier(df: DataFrame, id_col: str, text_col: str, label_col:
     model = Pipeline(stages=stages).fit(train)
     labels = model.stages[0].labels
     # class index -> label (the label list is the fitted vocabulary: bounded)
-    names = F.array(*[F.lit(x) for x in labels])
+    names = string_array_literal(labels)
     scored = model.transform(test).withColumn(
         "prediction", F.try_element_at(names, F.col("_pred").cast("int") + 1))
     preds = scored.select(id_col, F.col(label_col).alias("y"), "prediction")
