@@ -10,14 +10,19 @@ blank, so the look-ahead of the pattern sees the same.  Special tokens found
 in a text are fragments of their own.
 
 Fragments repeat a lot: a slice of the batch is cut with array operations, its
-distinct fragments are encoded once, and the ids are gathered back.  Decoding
-concatenates the tokens' bytes.  Null texts are empty and encode to no id.
+distinct fragments are encoded once, and the ids are gathered back.  Fragments
+of ASCII and two-byte Latin letters go through the faster of two encoders over
+the same vocabulary; all others (other scripts, very long ones) through the
+tokenizer the file describes.  Decoding concatenates the tokens' bytes.  Null
+texts are empty and encode to no id.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +35,12 @@ from labelflow.llm import common as C
 
 CACHE_FRAGMENTS = 200_000
 CACHE_BYTES = 48          # longer fragments rarely repeat and are not kept
+LONG_BYTES = 400          # longer fragments are left to the described tokenizer
+
+# Fixed value: the pre-tokenizer pattern of byte-level BPE vocabularies.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# bytes a fragment for the fast encoder consists of: ASCII and U+00C0 to U+00FF
+LATIN = re.compile(rb"(?:[\x00-\x7f]|\xc3[\x80-\xbf])*")
 
 
 def byte_chars() -> dict[str, int]:
@@ -60,30 +71,38 @@ class Codec:
     """Encoder and decoder over one vocabulary; lives in a task."""
 
     def __init__(self, tokenizer_json: str):
-        from tokenizers import Tokenizer
+        import tiktoken
 
+        self.described = None
+        self.source = tokenizer_json
         spec = json.loads(tokenizer_json)
-        self.model = Tokenizer.from_str(tokenizer_json)
-        self.model.no_truncation()
-        self.model.no_padding()
+        merges = len(spec["model"]["merges"])
         chars = byte_chars()
         special = {t["id"]: t["content"] for t in spec.get("added_tokens", [])}
         vocab = {i: t for t, i in spec["model"]["vocab"].items()} | special
         size = max(vocab) + 1
         tokens = [b""] * size
-        inside = np.zeros((256, 256), bool)
         for i, t in vocab.items():
-            raw = t.encode() if i in special else bytes(chars[c] for c in t)
-            tokens[i] = raw
-            if i not in special and len(raw) > 1:
-                a = np.frombuffer(raw, np.uint8)
-                inside[a[:-1], a[1:]] = True
-        self.special = sorted(t.encode() for t in special.values())
+            tokens[i] = t.encode() if i in special else bytes(map(chars.__getitem__, t))
+        plain = [t for i, t in enumerate(tokens) if i not in special]
+        joined = np.frombuffer(b"".join(plain), np.uint8)
+        within = np.ones(len(joined), bool)                   # not the first byte of a token
+        first = np.cumsum([0, *map(len, plain)])[:-1]
+        within[first[first < len(joined)]] = False
+        inside = np.zeros((256, 256), bool)
+        at = np.flatnonzero(within)
+        inside[joined[at - 1], joined[at]] = True
+        # ids of the vocabulary follow the order of its merges, so they serve as ranks
+        ranks = {t: i for i, t in enumerate(tokens) if t and i not in special}
+        if len(ranks) != merges + 256:
+            raise ValueError("not a byte-level vocabulary of 256 bytes and one token per merge")
+        self.fast = tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.special = {t.encode(): i for i, t in special.items()}
         self.pair, self.latin = (m.ravel() for m in safe_pairs(inside))
         self.token_len = np.array([len(t) for t in tokens], np.int64)
         self.token_at = np.cumsum(self.token_len) - self.token_len
         self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.cache: dict[bytes, np.ndarray] = {}
+        self.cache: dict[bytes, list[int]] = {}
 
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Start positions of the fragments; every row starts one."""
@@ -108,14 +127,33 @@ class Codec:
         cut[len(data)] = False
         return np.flatnonzero(cut)
 
-    def _fragment_ids(self, fragments: list[bytes]) -> list[np.ndarray]:
-        new = [f for f in fragments if f not in self.cache]
-        got = self.model.encode_batch_fast([f.decode() for f in new], add_special_tokens=False)
-        fresh = {f: np.array(e.ids, np.uint32) for f, e in zip(new, got)}
-        out = [self.cache[f] if f in self.cache else fresh[f] for f in fragments]
-        if len(self.cache) + len(fresh) > CACHE_FRAGMENTS:
-            self.cache = {}
-        self.cache.update({f: i for f, i in fresh.items() if len(f) <= CACHE_BYTES})
+    def _described(self, fragments: list[bytes]) -> list[list[int]]:
+        if self.described is None:
+            from tokenizers import Tokenizer
+
+            self.described = Tokenizer.from_str(self.source)
+            self.described.no_truncation()
+            self.described.no_padding()
+        return [self.described.encode(f.decode(), add_special_tokens=False).ids for f in fragments]
+
+    def _encode_fragment(self, f: bytes) -> list[int]:
+        if f in self.special:
+            return [self.special[f]]
+        if len(f) <= LONG_BYTES and (f.isascii() or LATIN.fullmatch(f)):
+            return self.fast.encode_ordinary(f.decode())
+        return self._described([f])[0]
+
+    def _fragment_ids(self, fragments: list[bytes]) -> list[list[int]]:
+        cache, out = self.cache, []
+        if len(cache) > CACHE_FRAGMENTS:
+            cache.clear()
+        for f in fragments:
+            ids = cache.get(f)
+            if ids is None:
+                ids = self._encode_fragment(f)
+                if len(f) <= CACHE_BYTES:
+                    cache[f] = ids
+            out.append(ids)
         return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,8 +165,8 @@ class Codec:
         pieces = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
         coded = pieces.dictionary_encode()
         ids = self._fragment_ids(coded.dictionary.to_pylist())
-        size = np.array([len(i) for i in ids], np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))
         at = np.cumsum(size) - size
         code = coded.indices.to_numpy()
         n = size[code]
