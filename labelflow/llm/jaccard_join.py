@@ -423,7 +423,7 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_
     """
     found = classes(docs, n, percent, id_col, text_col)
     drop = found.where("component < id").select(F.col("id").alias("dropped_id")).distinct()
-    return docs.join(drop.hint("shuffle_hash"), docs[id_col] == F.col("dropped_id"), "left_anti")
+    return docs.join(drop.hint("shuffle_hash"), docs[id_col] == drop["dropped_id"], "left_anti")
 
 
 QUERIES = {"op7_partenum_jaccard": q_op7}
