@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 CLASS_PREFIX = "Class name: "
 OPTIONS_HEADER = "OPTIONS:"
 DIGITS = "0123456789"
+# The characters str.strip() and str.split() take for blanks.
+BLANK = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
 
 def _c(col) -> Column:
@@ -19,8 +21,8 @@ def _c(col) -> Column:
 
 
 def strip(col) -> Column:
-    """Remove leading and trailing whitespace (not only spaces)."""
-    return F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+    """Remove leading and trailing whitespace (not only spaces; Unicode's too)."""
+    return F.regexp_replace(_c(col), f"^{BLANK}+|{BLANK}+\\z", "")
 
 
 def normalize_label(col) -> Column:
@@ -63,14 +65,20 @@ def is_label_in_options(options, prediction) -> Column:
 
 
 def parse_json_field(col, field: str = "class_name") -> Column:
-    """Value of a top-level JSON field; null when the text is not JSON or the
-    field is missing (never evaluates the text)."""
-    return F.get_json_object(_c(col), f"$.{field}")
+    """Value of a top-level JSON field; null when the text is not one whole JSON
+    document or the field is missing (never evaluates the text).
+
+    JSON parsers accept text behind a document; wrapped as an array element and
+    as a member's value, a document with such a tail fails at least once."""
+    c = _c(col)
+    whole = (F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).isNotNull()
+             & F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}"))).isNotNull())
+    return F.when(whole, F.get_json_object(c, f"$.{field}"))
 
 
 def whitespace_tokens(col) -> Column:
     """Non-empty whitespace-separated tokens."""
-    return F.filter(F.split(_c(col), r"\s+"), lambda t: t != F.lit(""))
+    return F.filter(F.split(_c(col), f"{BLANK}+"), lambda t: t != F.lit(""))
 
 
 def string_array_literal(values) -> Column:

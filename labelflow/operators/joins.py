@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_DIM_ROWS = 1_000_000
 
 
-def bounded_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_DIM_ROWS) -> DataFrame:
-    """``broadcast(dim)`` when it has at most ``max_rows`` rows, else ``dim``
-    unchanged.  The check reads at most ``max_rows + 1`` rows, in the
-    executors (only the count reaches the driver)."""
-    if dim.limit(max_rows + 1).count() <= max_rows:
+MAX_BROADCAST_DIM_BYTES = 32 << 20
+
+
+def bounded_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_DIM_ROWS,
+                      max_bytes: int = MAX_BROADCAST_DIM_BYTES) -> DataFrame:
+    """``broadcast(dim)`` when it has at most ``max_rows`` rows and, written as
+    JSON, ``max_bytes`` bytes, else ``dim`` unchanged.  The check reads at most
+    ``max_rows + 1`` rows, in the executors (two numbers reach the driver)."""
+    size = F.octet_length(F.to_json(F.struct(*dim.columns)))
+    rows, total = dim.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
+    if rows <= max_rows and (total or 0) <= max_bytes:
         return F.broadcast(dim)
     return dim

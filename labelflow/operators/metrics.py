@@ -50,15 +50,11 @@ def label_stats(confusion: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                  F.sum("c.predicted").alias("predicted")))
 
 
-def classification_report(df: DataFrame, y: str = "y", pred: str = "prediction",
-                          by: Sequence[str] = (), digits: int = DIGITS) -> DataFrame:
-    """Per-label precision / recall / F1 / support followed by the rows
-    ``accuracy``, ``macro avg`` and ``weighted avg``, per ``by`` group.
-
-    Labels are the union of true and predicted values; undefined ratios are 0.
-    The accuracy row repeats the accuracy in precision, recall and f1_score and
-    carries the row count as support.
-    """
+def report_parts(df: DataFrame, y: str = "y", pred: str = "prediction",
+                 by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(per label, summary): the labels' figures and, per ``by`` group, one row
+    with n, accuracy (acc), macro (m*) and weighted (w*) averages, unrounded.
+    Kept apart, a label may be called ``accuracy`` or ``weighted avg``."""
     stats = label_stats(confusion_matrix(df, y, pred, by), by)
     tp, sup, prd = F.col("tp"), F.col("support"), F.col("predicted")
     per_label = stats.select(
@@ -67,7 +63,6 @@ def classification_report(df: DataFrame, y: str = "y", pred: str = "prediction",
         _ratio(tp, sup).alias("recall"),
         _ratio(2 * tp, sup + prd).alias("f1_score"),
         sup.alias("support"), tp.alias("tp"))
-
     total = F.sum("support")
     summary = per_label.groupBy(*by).agg(
         total.alias("n"),
@@ -77,19 +72,33 @@ def classification_report(df: DataFrame, y: str = "y", pred: str = "prediction",
         _ratio(F.sum(F.col("recall") * F.col("support")), total).alias("wr"),
         _ratio(F.sum(F.col("f1_score") * F.col("support")), total).alias("wf"),
     )
-    rows = F.explode(F.array(
-        F.struct(F.lit("accuracy").alias("id"), F.col("acc").alias("precision"),
-                 F.col("acc").alias("recall"), F.col("acc").alias("f1_score"), F.col("n").alias("support")),
-        F.struct(F.lit("macro avg").alias("id"), F.col("mp").alias("precision"),
-                 F.col("mr").alias("recall"), F.col("mf").alias("f1_score"), F.col("n").alias("support")),
-        F.struct(F.lit("weighted avg").alias("id"), F.col("wp").alias("precision"),
-                 F.col("wr").alias("recall"), F.col("wf").alias("f1_score"), F.col("n").alias("support")),
-    )).alias("r")
-    summary_rows = summary.select(*by, rows).select(*by, "r.*")
-    out = per_label.drop("tp").unionByName(summary_rows)
+    return per_label, summary
+
+
+def classification_report(df: DataFrame, y: str = "y", pred: str = "prediction",
+                          by: Sequence[str] = (), digits: int = DIGITS, kind_col: str | None = None) -> DataFrame:
+    """Per-label precision / recall / F1 / support followed by the rows
+    ``accuracy``, ``macro avg`` and ``weighted avg``, per ``by`` group.
+
+    Labels are the union of true and predicted values; undefined ratios are 0.
+    The accuracy row repeats the accuracy in precision, recall and f1_score and
+    carries the row count as support.  ``kind_col`` adds a column that tells
+    ``label`` from ``summary`` rows, should a label bear a summary row's name.
+    """
+    per_label, summary = report_parts(df, y, pred, by)
+
+    def row(name, p, r, f):
+        return F.struct(F.lit(name).alias("id"), F.col(p).alias("precision"), F.col(r).alias("recall"),
+                        F.col(f).alias("f1_score"), F.col("n").alias("support"))
+
+    rows = F.explode(F.array(row("accuracy", "acc", "acc", "acc"), row("macro avg", "mp", "mr", "mf"),
+                             row("weighted avg", "wp", "wr", "wf"))).alias("r")
+    summary_rows = summary.select(*by, rows).select(*by, "r.*").withColumn("_kind", F.lit("summary"))
+    out = per_label.drop("tp").withColumn("_kind", F.lit("label")).unionByName(summary_rows)
     return out.select(*by, "id",
                       *[F.round(c, digits).alias(c) for c in ("precision", "recall", "f1_score")],
-                      F.col("support").cast("bigint").alias("support"))
+                      F.col("support").cast("bigint").alias("support"),
+                      *([F.col("_kind").alias(kind_col)] if kind_col else []))
 
 
 def report_per_dataset(df: DataFrame, y: str = "y", pred: str = "prediction",
@@ -101,9 +110,9 @@ def report_per_dataset(df: DataFrame, y: str = "y", pred: str = "prediction",
 def weighted_prf(df: DataFrame, y: str = "y", pred: str = "prediction",
                  by: Sequence[str] = ()) -> DataFrame:
     """Weighted precision, recall and F1 (the ``weighted avg`` row)."""
-    rep = classification_report(df, y, pred, by)
-    return rep.filter(F.col("id") == "weighted avg").select(
-        *by, "precision", "recall", F.col("f1_score").alias("f1"))
+    _, summary = report_parts(df, y, pred, by)
+    return summary.select(*by, F.round("wp", DIGITS).alias("precision"), F.round("wr", DIGITS).alias("recall"),
+                          F.round("wf", DIGITS).alias("f1"))
 
 
 def accuracy(df: DataFrame, y: str = "y", pred: str = "prediction",
@@ -122,11 +131,9 @@ def leaderboard(df: DataFrame, y: str = "y", pred: str = "prediction",
                 dataset_col: str = "dataset_name", model_col: str = "model_name") -> DataFrame:
     """Weighted F1 and accuracy per (dataset, model), ranked inside each
     dataset by F1 descending, model name ascending."""
-    rep = classification_report(df, y, pred, by=(dataset_col, model_col))
-    wide = (rep.filter(F.col("id").isin("weighted avg", "accuracy"))
-               .groupBy(dataset_col, model_col)
-               .agg(F.max(F.when(F.col("id") == "weighted avg", F.col("f1_score"))).alias("weighted_f1"),
-                    F.max(F.when(F.col("id") == "accuracy", F.col("precision"))).alias("accuracy")))
+    _, summary = report_parts(df, y, pred, by=(dataset_col, model_col))
+    wide = summary.select(dataset_col, model_col, F.round("wf", DIGITS).alias("weighted_f1"),
+                          F.round("acc", DIGITS).alias("accuracy"))
     w = Window.partitionBy(dataset_col).orderBy(F.col("weighted_f1").desc(), F.col(model_col).asc())
     return wide.withColumn("rnk", F.rank().over(w).cast("bigint"))
 

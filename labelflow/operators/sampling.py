@@ -23,6 +23,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelflow.operators.joins import bounded_broadcast
 from labelflow.functions.hashing import DEFAULT_SEED, det_hash
 
 # det_hash is 32 bits; the top BUCKET_BITS of it form the counting bucket.
@@ -71,10 +72,11 @@ def stratified_sample(df: DataFrame, class_col: str, k: int, id_col: str,
         counts = df.groupBy(class_col).agg(F.count(F.lit(1)).alias("_n"))
         # assert_true returns null or fails the job; filtering on it keeps the
         # check in the plan
-        out = (out.join(counts, class_col)
+        counts = counts.withColumnRenamed(class_col, "_class")
+        out = (out.join(counts, F.col(class_col).eqNullSafe(F.col("_class")))
                   .filter(F.assert_true(F.col("_n") >= k,
                                         F.lit(f"a class has fewer than {k} rows")).isNull())
-                  .drop("_n"))
+                  .drop("_n", "_class"))
     return out
 
 
@@ -106,11 +108,20 @@ def label_index(df: DataFrame, label_col: str, base: int = 1, name: str = "label
     return labels.withColumn(name, (F.row_number().over(w) + (base - 1)).cast("bigint"))
 
 
+LAST_HASH = (1 << 32) - 1
+
+
 def _bucketed(df: DataFrame, id_col: str, seed, bits: int) -> DataFrame:
-    h = det_hash(id_col, seed)
+    """Adds the 32-bit hash of the id and its first ``bits``; null ids come last."""
+    h = F.coalesce(det_hash(id_col, seed), F.lit(LAST_HASH).cast("bigint"))
     return df.withColumn("_h", h).withColumn("_b", F.shiftright(F.col("_h"), 32 - bits))
 
 
+def _row_tie(df: DataFrame, id_col: str):
+    """Tells rows without an id apart (0 for all others)."""
+    return F.when(F.col(id_col).isNull(), F.xxhash64(*df.columns)).otherwise(F.lit(0).cast("bigint"))
+
+
 def exact_split(df: DataFrame, id_col: str, test_fraction: float = 0.2,
                 by: Sequence[str] = (), seed=DEFAULT_SEED, bits: int = BUCKET_BITS,
                 split_col: str = "split") -> DataFrame:
@@ -118,34 +129,43 @@ def exact_split(df: DataFrame, id_col: str, test_fraction: float = 0.2,
     ``by`` group (or of the whole table) go to ``test`` in hash order.
 
     Rows are counted per (group, hash bucket); the cumulative counts of that
-    small table locate the single boundary bucket per group and how many of
-    its rows are still needed.  Only rows of the boundary buckets are ranked.
+    small table locate the one boundary bucket per group, and ranking the ids
+    in it gives the group's cut (hash, id).  The split is then a comparison
+    with the cut: only ids and groups are ever shuffled, never whole rows.
+    Null groups are a group, null ids come last.  Rows that share an id (or
+    lack one and are equal) fall on one side, so sizes are exact for unique ids.
     """
     by = list(by)
-    keys = by if by else ["_g"]
-    rows = _bucketed(df, id_col, seed, bits)
-    if not by:
-        rows = rows.withColumn("_g", F.lit(0))
-    counts = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("_b")
-    cum = (counts.withColumn("_cum", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-                 .withColumn("_tot", F.sum("_n").over(Window.partitionBy(*keys)))
+    rows = _bucketed(df.select(*by, F.col(id_col).alias("_id"), _row_tie(df, id_col).alias("_t")),
+                     "_id", seed, bits)
+    group = [f"_g{i}" for i in range(len(by))]
+    rows = rows.select(*[F.col(c).alias(g) for c, g in zip(by, group)], "_id", "_t", "_h", "_b")
+    counts = rows.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*group) if group else Window.partitionBy()
+    cum = (counts.withColumn("_cum", F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
+                 .withColumn("_tot", F.sum("_n").over(w))
                  .withColumn("_k", F.ceil(F.col("_tot") * F.lit(Decimal(str(test_fraction)))).cast("bigint")))
     boundary = (cum.filter((F.col("_cum") - F.col("_n") < F.col("_k")) & (F.col("_cum") >= F.col("_k")))
-                   .select(*keys, F.col("_b").alias("_bstar"),
+                   .select(*[F.col(g).alias("c" + g) for g in group], F.col("_b").alias("c_b"),
                            (F.col("_k") - (F.col("_cum") - F.col("_n"))).alias("_need")))
-    joined = rows.join(boundary, keys, "left")
-    # groups with k == 0 have no boundary row: everything is train
-    outside = joined.filter(F.col("_bstar").isNull() | (F.col("_b") != F.col("_bstar"))).withColumn(
-        split_col, F.when(F.col("_b") < F.col("_bstar"), F.lit("test")).otherwise(F.lit("train")))
-    wb = Window.partitionBy(*keys, "_b").orderBy("_h", id_col)
-    inside = (joined.filter(F.col("_b") == F.col("_bstar"))
-                    .withColumn("_r", F.row_number().over(wb))
-                    .withColumn(split_col, F.when(F.col("_r") <= F.col("_need"), F.lit("test"))
-                                .otherwise(F.lit("train")))
-                    .drop("_r"))
-    out = outside.unionByName(inside)
-    return out.drop("_h", "_b", "_bstar", "_need", "_g")
+
+    def same_group(left):
+        hit = F.lit(True)
+        for c, g in zip(left, group):
+            hit = hit & F.col(c).eqNullSafe(F.col("c" + g))
+        return hit
+
+    edge = rows.join(boundary, same_group(group) & (F.col("_b") == F.col("c_b")))
+    inside = Window.partitionBy(*group, "_b").orderBy("_h", F.col("_id").asc_nulls_last(), "_t")
+    cut = (edge.withColumn("_r", F.row_number().over(inside)).filter(F.col("_r") == F.col("_need"))
+               .select(*["c" + g for g in group], F.struct("_h", F.col("_id").isNull().alias("z"), "_id", "_t").alias("_cut")))
+    own = F.struct(F.coalesce(det_hash(id_col, seed), F.lit(LAST_HASH).cast("bigint")).alias("_h"),
+                   F.col(id_col).isNull().alias("z"), F.col(id_col).alias("_id"), _row_tie(df, id_col).alias("_t"))
+    # one cut per group; a group without a test row has none
+    out = df.withColumn("_own", own).join(bounded_broadcast(cut) if by else F.broadcast(cut), same_group(by), "left")
+    test = F.col("_cut").isNotNull() & (F.col("_own") <= F.col("_cut"))
+    return out.withColumn(split_col, F.when(test, F.lit("test")).otherwise(F.lit("train"))).drop(
+        "_own", "_cut", *["c" + g for g in group])
 
 
 def train_test_split(df: DataFrame, id_col: str, test_fraction: float = 0.2,
@@ -193,7 +213,7 @@ def seeded_shuffle(df: DataFrame, id_col: str, seed=DEFAULT_SEED, pos_col: str =
     counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    wb = Window.partitionBy("_b").orderBy("_h", id_col)
+    wb = Window.partitionBy("_b").orderBy("_h", F.col(id_col).asc_nulls_last())
     ranked = rows.withColumn("_r", F.row_number().over(wb))
     return (ranked.join(offsets, "_b")
                   .withColumn(pos_col, (F.col("_off") + F.col("_r")).cast("bigint"))

@@ -31,13 +31,13 @@ from collections.abc import Callable, Iterator  # noqa: E402
 import pandas as pd  # noqa: E402
 from pyspark.sql import DataFrame  # noqa: E402
 
+from labelflow.functions.text import whitespace_tokens  # noqa: E402
 from labelflow.operators.matching import MAX_INLINE_LABELS, _bounded_labels  # noqa: E402,F401
 
 
 def token_set(col) -> Column:
     """Distinct lower-cased whitespace tokens."""
-    c = F.lower(_c(col))
-    return F.array_distinct(F.filter(F.split(c, r"\s+"), lambda t: t != F.lit("")))
+    return F.array_distinct(whitespace_tokens(F.lower(_c(col))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -106,6 +106,17 @@ class LexicalScorer:
         return out
 
 
+def lexical_predict(df: DataFrame, text_col: str, labels: DataFrame, label_col: str,
+                    out_col: str = "prediction", max_inline_labels: int = MAX_INLINE_LABELS) -> DataFrame:
+    """The batch scorer over all labels: a label set that one task can hold goes
+    through :func:`score_prompts`, a larger one through the blocked plan of
+    :func:`lexical_zero_shot`.  No label is left out."""
+    known, fits = _labels_raw(labels, label_col, max_inline_labels)
+    if fits:
+        return score_prompts(df, text_col, lambda: LexicalScorer(known), out_col)
+    return lexical_zero_shot(df, text_col, labels, label_col, out_col, max_inline_labels)
+
+
 class LongestTokensExtractor:
     """Offline keyword extractor: the ``k`` longest whitespace tokens (first
     occurrence wins ties), in text order of their ranks."""
@@ -143,16 +154,19 @@ def score_prompts(df: DataFrame, prompt_col: str, scorer_factory: Callable[[], o
 
 def longest_tokens(col, k: int = 1) -> Column:
     """Native twin of :class:`LongestTokensExtractor`."""
-    toks = F.filter(F.split(_c(col), r"\s+"), lambda t: t != F.lit(""))
+    toks = whitespace_tokens(col)
     ranked = F.transform(toks, lambda t, i: F.struct((-F.length(t)).alias("neg"), i.alias("i"),
                                                      t.alias("t")))
     return F.array_join(F.transform(F.slice(F.array_sort(ranked), 1, k), lambda x: x["t"]), " ")
 
 
-def two_stage_predict(df: DataFrame, text_col: str, extractor_factory, scorer_factory,
-                      out_col: str = "prediction") -> DataFrame:
-    """Extract keywords with one scorer, classify them with another; the
-    original text is kept in ``original``."""
+def two_stage_predict(df: DataFrame, text_col: str, extractor_factory, scorer_factory=None,
+                      out_col: str = "prediction", labels: DataFrame | None = None,
+                      label_col: str = "label") -> DataFrame:
+    """Extract keywords with one scorer, classify them with another (or, given
+    ``labels``, with the lexical one); the original text is kept in ``original``."""
     staged = score_prompts(df.withColumn("original", F.col(text_col)), "original",
                            extractor_factory, "extracted")
+    if labels is not None:
+        return lexical_predict(staged, "extracted", labels, label_col, out_col)
     return score_prompts(staged, "extracted", scorer_factory, out_col)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelflow.functions.hashing import det_hash_sql
-from labelflow.operators.embed import embed_counts
+from labelflow.operators.embed import embed_counts, embed_text
 from labelflow.operators.matching import option_to_category
 from labelflow.operators.options import prompt_options_topn
 from labelflow.plans import fewshot as FS
@@ -34,6 +34,20 @@ def q_embed_text(spark, sf):
     return embed_counts(d, "doc_id", "text", 64)
 
 
+@register("embed_text_dense", f"""WITH c AS (SELECT doc_id,
+  ('0x' || substr(md5(substring(t, i, 3)), 1, 8))::UBIGINT % 64 AS bucket, count(*) AS n
+FROM (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS i
+      FROM (SELECT doc_id, lower(text) AS t FROM documents) x) y
+GROUP BY ALL)
+SELECT d.doc_id, b.range AS bucket, coalesce(c.n, 0)::DOUBLE AS value
+FROM documents d CROSS JOIN range(64) b
+LEFT JOIN c ON c.doc_id = d.doc_id AND c.bucket = b.range""")
+def q_embed_text_dense(spark, sf):
+    d = embed_text(read_table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text", 64)
+    return d.select("doc_id", F.posexplode("embedding").alias("bucket", "value")).select(
+        "doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.col("value").cast("double").alias("value"))
+
+
 RANKED_SQL = f"""WITH {EX_SQL},
 top AS (SELECT vec_id, rnk, exemplar_id, CAST(category AS VARCHAR) AS category FROM rk WHERE rnk <= 5)"""
 

@@ -88,8 +88,7 @@ def q_lexical_zero_shot(spark, sf):
 SELECT p.p_partkey, b.label AS prediction FROM part p JOIN best b ON b.x = p.p_name""")
 def q_score_prompts(spark, sf):
     p = read_table(spark, sf, "part", "p_partkey", "p_name")
-    labels, _ = SC._labels_raw(word_labels(spark, sf), "label", MT.MAX_INLINE_LABELS)
-    out = SC.score_prompts(p, "p_name", lambda: SC.LexicalScorer(labels))
+    out = SC.lexical_predict(p, "p_name", word_labels(spark, sf), "label")
     return out.select("p_partkey", "prediction")
 
 
@@ -106,7 +105,6 @@ FROM ext e JOIN best b ON b.x = e.extracted"""
 @register("two_stage_predict", TWO_STAGE_SQL.replace("WITH ext AS", "WITH ext AS", 1))
 def q_two_stage_predict(spark, sf):
     p = read_table(spark, sf, "part", "p_partkey", "p_name")
-    labels, _ = SC._labels_raw(word_labels(spark, sf), "label", MT.MAX_INLINE_LABELS)
     out = SC.two_stage_predict(p, "p_name", lambda: SC.LongestTokensExtractor(1),
-                               lambda: SC.LexicalScorer(labels))
+                               labels=word_labels(spark, sf))
     return out.select("p_partkey", "original", "extracted", "prediction")

@@ -80,7 +80,7 @@ def assistant_vs_user(conversations):
                              F.lag("role").over(w).alias("prev_role"),
                              F.lag("text").over(w).alias("prev_text"))
     return c.filter((F.col("role") == "assistant") & (F.col("prev_role") == "user")).select(
-        "conv_id", (F.col("conv_id") * 100 + F.col("turn")).alias("rid"),
+        "conv_id", F.concat_ws("-", "conv_id", "turn", "role").alias("rid"),
         F.col("text").alias("hyp"), F.col("prev_text").alias("ref"))
 
 

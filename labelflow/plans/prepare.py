@@ -20,6 +20,7 @@ from labelflow.session import cut_lineage
 
 CLASSIFICATION = "classification"
 ENTITY_EXTRACTION = "entity_extraction"
+# Fixed value: rows drawn per class for pairing, the first size a class can fill.
 PAIR_SIZES = (8, 6, 4, 2)
 
 
@@ -35,7 +36,7 @@ def prepare_labelled_table(flat: DataFrame, company_col: str = "company_name",
     """
     opts = prompt_options_company(flat, company_col, "class_name", "class_number", pos_col,
                                   bullet=bullet)
-    t = flat.join(opts, company_col)
+    t = flat.join(bounded_broadcast(opts), company_col)
     if compat:
         no_company = build_prompt("sample_text", "prompt_options", F.lit(""), F.lit("False"))
     else:
@@ -62,8 +63,10 @@ def entity_dataset(flat: DataFrame, text_col: str = "sample_text",
 
 def leak_anti_join(df: DataFrame, other: DataFrame, text_col: str = "sample_text") -> DataFrame:
     """Drop rows whose text occurs in ``other`` (exact, null-free equality)."""
-    texts = other.select(text_col).where(F.col(text_col).isNotNull()).distinct()
-    return df.join(texts, text_col, "left_anti")
+    # 256-bit digests are the keys: texts are neither compared nor grouped
+    digest = F.unhex(F.sha2(F.col(text_col), 256))
+    known = other.select(digest.alias("_leak")).where(F.col("_leak").isNotNull()).distinct()
+    return df.join(known, digest == F.col("_leak"), "left_anti")
 
 
 def multi_task_union(classification: DataFrame, entity: DataFrame,

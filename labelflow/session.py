@@ -39,7 +39,6 @@ def build_session(master: str | None = None, app_name: str = "labelflow",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -59,6 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     (local runs and tests).  A cluster always names a shared folder."""
     d = checkpoint_dir(spark)
     if not d:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="labelflow-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
     elif not spark.sparkContext.getCheckpointDir():

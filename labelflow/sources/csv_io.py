@@ -21,9 +21,11 @@ SPLIT_SCHEMA = T.StructType([
 
 
 def read_predictions_csv(spark: SparkSession, path: str,
-                         schema: T.StructType | str = PREDICTION_SCHEMA) -> DataFrame:
-    """CSV with a header row; quoted cells may span lines."""
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
+                         schema: T.StructType | str = PREDICTION_SCHEMA, multi_line: bool = True) -> DataFrame:
+    """CSV with a header row.  With ``multi_line`` quoted cells may span lines and a
+    file is one task; turn it off for large files without such cells.  An empty
+    cell, quoted or not, is null, as in the reference's reader."""
+    return (spark.read.schema(schema).option("header", True).option("multiLine", multi_line)
                  .option("quote", '"').option("escape", '"').csv(path))
 
 
