@@ -19,12 +19,15 @@ members of a signature to its first one, and ships only the first: a signature
 that a third of all documents share leaves each slice once.  Packed blobs go by
 signature range to groups of about ``GROUP_SIGNATURES``; a group links again.
 
-Verification.  Sets are rebuilt only for nodes with a candidate.  Each node is
-first checked against its most frequent partner, then against the others that
-are not in its class yet.  A signature whose members still belong to different
-classes is settled exactly: its members are dealt into blocks, and all blocks'
-cross-class pairs are compared by sparse counting, members of one class never
-with each other.  Links are joined by distributed connected components.
+Verification.  Each set has a parity sketch of two to four bits a shingle; two
+sets differ in at least as many shingles as their sketches do in bits, so pairs
+whose sketches differ in more than k bits are dropped without loss.  Sets are
+rebuilt only for the pairs that remain.  Each node is first checked against its
+most frequent partner, then against the others that are not in its class yet.
+A signature whose members still belong to different classes is settled exactly:
+its members are dealt into blocks, the sketches of all cross-class pairs of
+blocks are compared (members of one class never with each other), and what
+remains is verified.  Links are joined by distributed connected components.
 
 Texts without a word are empty sets: linked with nothing.  Texts with fewer
 words than ``n`` have one shingle, the whole sequence.  A row with a null id
@@ -49,7 +52,7 @@ from labelflow.llm.components import components
 
 GROUP_SIGNATURES = 1_000_000
 BLOCK_NODES = 512
-BLOCK_SHINGLES = 500_000
+BLOCK_SHINGLES = 8_000_000
 PIVOT_NODES = 500
 SPARE = 2          # cells beyond k + 1 where single cells sign
 PAIRED = 3         # up to this k pairs of cells sign
@@ -94,6 +97,34 @@ def set_keys(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.
     return size, key
 
 
+def sketches(row: np.ndarray, h: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Parity sketch of each row's set, a power of two of at least 64 bits and two bits a
+    shingle: bit i tells whether an odd number of shingles hash to i.  A sketch's halves
+    XORed are the sketch of half the width."""
+    width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64))
+    base = np.cumsum(width) - width
+    bit = (C.mix(h ^ np.uint64(0x5EED)) & (width[row] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(base[row] + bit, minlength=int(width.sum())) & 1
+    packed = np.packbits(odd.astype(np.uint8))
+    ends = np.concatenate([[0], np.cumsum(width // 8)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
+
+
+def may_be_similar(na, a: np.ndarray, nb, b: np.ndarray, percent: int) -> np.ndarray:
+    """Rows of sketches (uint8) of two widths, pairwise by broadcasting: False only if the sets can't be similar."""
+    while a.shape[-1] > b.shape[-1]:
+        a = a[..., :a.shape[-1] // 2] ^ a[..., a.shape[-1] // 2:]
+    while b.shape[-1] > a.shape[-1]:
+        b = b[..., :b.shape[-1] // 2] ^ b[..., b.shape[-1] // 2:]
+    bits = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]), np.int64)
+    for i in range(0, a.shape[-1], 8):                      # one 64-bit word at a time
+        x = np.ascontiguousarray(a[..., i:i + 8]).view(np.uint64)[..., 0]
+        y = np.ascontiguousarray(b[..., i:i + 8]).view(np.uint64)[..., 0]
+        bits += np.bitwise_count(x ^ y)
+    return (bits * (100 + percent) <= (100 - percent) * (na + nb)) & (
+        100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+
+
 # ---------------------------------------------------------------- signatures
 
 @lru_cache(maxsize=8)
@@ -180,18 +211,20 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def set_table(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, node, n_sig) of every row."""
+    """(id, n_shingles, node, n_sig, sketch) of every row."""
     rows = _texts(docs, id_col, text_col)
     schema = T.StructType([rows.schema["id"], T.StructField("n_shingles", T.LongType()),
-                           T.StructField("node", T.LongType()), T.StructField("n_sig", T.LongType())])
+                           T.StructField("node", T.LongType()), T.StructField("n_sig", T.LongType()),
+                           T.StructField("sketch", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, off in C.text_slices(b.column(1)):
-                size, key = set_keys(*shingle_sets(data, off, n), hi - lo)
+                row, h = shingle_sets(data, off, n)
+                size, key = set_keys(row, h, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(key.view(np.int64)),
-                     pa.array(signature_count(size, percent), pa.int64())], schema.names)
+                     pa.array(signature_count(size, percent), pa.int64()), sketches(row, h, size)], schema.names)
     return rows.mapInArrow(run, schema)
 
 
@@ -283,43 +316,54 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .applyInArrow(check, "u bigint, v bigint"))
 
 
-def _flat(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    col = t.column("s").combine_chunks()
-    return col.flatten().to_numpy(), np.diff(col.offsets.to_numpy())
-
-
-def block_links(a: pa.Table, b: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """One similar pair for each two classes that have one, members of ``a`` against members of ``b``."""
-    xa, na = _flat(a)
-    xb, nb = _flat(b)
-    common = np.intersect1d(xa, xb)
-    ra, rb = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
-    ca, cb = np.searchsorted(common, xa), np.searchsorted(common, xb)
-    ka, kb = np.isin(xa, common, kind="sort"), np.isin(xb, common, kind="sort")
-    ra, ca, rb, cb = ra[ka], ca[ka], rb[kb], cb[kb]
-    both = np.zeros((len(na), len(nb)), np.float32)
-    oa, ob = np.argsort(ca, kind="stable"), np.argsort(cb, kind="stable")
-    ra, ca, rb, cb = ra[oa], ca[oa], rb[ob], cb[ob]
-    for lo in range(0, len(common), 4096):                  # shared shingles, some columns at a time
-        hi = min(lo + 4096, len(common))
-        ia, ib = slice(*np.searchsorted(ca, [lo, hi])), slice(*np.searchsorted(cb, [lo, hi]))
-        ma, mb = np.zeros((len(na), hi - lo), np.float32), np.zeros((len(nb), hi - lo), np.float32)
-        ma[ra[ia], ca[ia] - lo] = 1
-        mb[rb[ib], cb[ib] - lo] = 1
-        both += ma @ mb.T
-    both = both.astype(np.int64)
+def _widths(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """sketch bytes -> (row numbers, sketches of those rows)."""
+    raw = t.column("sketch").to_pylist()
+    size = np.array([len(x) for x in raw], np.int64)
+    return {int(w): (at, np.frombuffer(b"".join(raw[i] for i in at), np.uint8).reshape(len(at), -1))
+            for w in np.unique(size) for at in [np.flatnonzero(size == w)]}
+
+
+def block_pairs(a: pa.Table, b: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``a`` and of ``b`` of different classes that may be similar, by their sketches."""
+    na, nb = a.column("n_shingles").to_numpy(), b.column("n_shingles").to_numpy()
     la, lb = a.column("label").to_numpy(), b.column("label").to_numpy()
-    ok = (100 * both >= percent * (na[:, None] + nb[None, :] - both)) & (la[:, None] != lb[None, :])
-    i, j = np.nonzero(ok)
-    if not len(i):
-        return []
-    classes = np.column_stack([np.minimum(la[i], lb[j]), np.maximum(la[i], lb[j])])
-    _, at = np.unique(classes, axis=0, return_index=True)
-    return list(zip(la[i[at]].tolist(), lb[j[at]].tolist()))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    other = _widths(b)
+    for w, (ia, sa) in _widths(a).items():
+        for v, (ib, sb) in other.items():
+            # similar sizes have sketches of the same width or one step apart, more below 50 %
+            if max(w, v) * percent <= 200 * min(w, v):
+                ok = may_be_similar(na[ia][:, None], sa[:, None, :], nb[ib][None, :], sb[None, :, :], percent)
+                i, j = np.nonzero(ok & (la[ia][:, None] != lb[ib][None, :]))
+                left.append(ia[i])
+                right.append(ib[j])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def sketched(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``pairs`` (node, head, ...) whose sketches allow them to be similar."""
+    def ends(name):
+        return sketch.select(F.col("node").alias(name), F.col("n_shingles").alias(f"{name} n"),
+                             F.col("sketch").alias(f"{name} sketch"))
+
+    keep = pairs.columns
+    both = pairs.join(ends("node"), "node").join(ends("head"), "head").select(
+        *keep, "`node n`", "`node sketch`", "`head n`", "`head sketch`")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, sa, nb, sb = (b.column(len(keep) + i) for i in range(4))
+            na, nb, sa, sb = na.to_numpy(), nb.to_numpy(), sa.to_pylist(), sb.to_pylist()
+            ok = [bool(may_be_similar(int(x), np.frombuffer(p, np.uint8), int(y), np.frombuffer(q, np.uint8), percent))
+                  for x, p, y, q in zip(na, sa, nb, sb)]
+            yield b.select(keep).filter(pa.array(ok, pa.bool_()))
+    return both.mapInArrow(run, pairs.schema)
 
 
-def settle(met: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v) links between classes among the members of signatures that hold several classes."""
+def open_pairs(met: DataFrame, labels: DataFrame, sketch: DataFrame, percent: int) -> DataFrame | None:
+    """(node, head) of different classes that may be similar, among the members of
+    signatures that hold several classes; None if there is no such signature."""
     def labelled(df, node, name):
         own = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
         return (df.join(own, df[node] == own["_n"], "left")
@@ -330,16 +374,15 @@ def settle(met: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) ->
     open_sigs = (both.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.max((F.col("ln") != F.col("lh")).cast("int")).alias("d"))
                  .where("c > 1 and d = 1").select("sig"))
     rows = C.materialize(both.join(open_sigs, "sig").select("node", "head", "ln", "lh").distinct(), "open")
-    empty = rows.select(F.col("node").alias("u"), F.col("head").alias("v")).limit(0)
     if rows.isEmpty():
-        return empty
+        return None
     group = components(rows.select(F.col("ln").alias("u"), F.col("lh").alias("v")), "open_groups")
     member = (rows.select("node", F.col("ln").alias("label"))
               .unionByName(rows.select(F.col("head").alias("node"), F.col("lh").alias("label"))).distinct())
     member = C.materialize(
         member.join(group.select(F.col("node").alias("label"), F.col("label").alias("g")), "label")
-        .join(sets.select("node", F.size("s").alias("size")), "node").select("g", "label", "node", "size"), "members")
-    sizes = member.groupBy("g", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("w"))
+        .join(sketch.select("node", "n_shingles"), "node").select("g", "label", "node", "n_shingles"), "members")
+    sizes = member.groupBy("g", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("w"))
     top = sizes.groupBy("g").agg(F.max(F.struct("c", "label")).getField("label").alias("main"),
                                  F.sum("c").alias("all_c"), F.sum("w").alias("all_w"))
     rest = (sizes.join(top, "g").where("label <> main").groupBy("g")
@@ -357,18 +400,19 @@ def settle(met: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) ->
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
     def side(df):                # columns of its own for each side of the cogroup
-        return df.join(sets, "node").select(*[F.col(x).alias(x) for x in ("g", "r", "c", "label", "node", "s")])
+        return df.join(sketch, "node").select(
+            *[F.col(x).alias(x) for x in ("g", "r", "c", "label", "node", "n_shingles", "sketch")])
 
     left = side(placed.where("label <> main").select("g", "r", every("cols").alias("c"), "label", "node"))
     right = side(placed.select("g", every("rows").alias("r"), "c", "label", "node"))
 
     def check(a: pa.Table, b: pa.Table) -> pa.Table:
-        links = block_links(a, b, percent) if len(a) and len(b) else []
-        return pa.table({"u": pa.array([x for x, _ in links], pa.int64()),
-                         "v": pa.array([y for _, y in links], pa.int64())})
+        i, j = block_pairs(a, b, percent) if len(a) and len(b) else (np.zeros(0, np.int64),) * 2
+        u, v = a.column("node").to_numpy()[i], b.column("node").to_numpy()[j]
+        return pa.table({"node": pa.array(np.maximum(u, v), pa.int64()), "head": pa.array(np.minimum(u, v), pa.int64())})
 
     return (left.groupBy("g", "r", "c").cogroup(right.groupBy("g", "r", "c"))
-            .applyInArrow(check, "u bigint, v bigint"))
+            .applyInArrow(check, "node bigint, head bigint").distinct())
 
 
 # ---------------------------------------------------------------- the join
@@ -384,22 +428,34 @@ def classes(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_
     nodes = (table.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("low")))
     labels = None
     if not met.isEmpty():
-        votes = C.materialize(met.groupBy("node", "head").agg(F.count(F.lit(1)).alias("n")), "votes")
-        wanted = votes.select("node").unionByName(votes.select(F.col("head").alias("node"))).distinct()
-        sets = C.materialize(node_sets(docs, wanted, table, n, id_col, text_col), "node_sets")
+        met_nodes = met.select("node").unionByName(met.select(F.col("head").alias("node"))).distinct()
+        sketch = C.materialize(table.join(met_nodes, "node").dropDuplicates(["node"])
+                               .select("node", "n_shingles", "sketch"), "sketches")
+        votes = met.groupBy("node", "head").agg(F.count(F.lit(1)).alias("n"))
+        votes = C.materialize(sketched(votes, sketch, percent), "votes")
+
+        def check(pairs):
+            """Similar pairs among distinct (node, head); sets are built for their nodes only."""
+            wanted = pairs.select("node").unionByName(pairs.select(F.col("head").alias("node"))).distinct()
+            return verify(pairs, C.materialize(node_sets(docs, wanted, table, n, id_col, text_col), "node_sets"), percent)
+
         best = votes.groupBy("node").agg(F.max_by("head", F.struct("n", "head")).alias("head"))
-        links = C.materialize(verify(best, sets, percent), "links")
+        links = C.materialize(check(best), "links")
         labels = components(links)
         own = labels.select(F.col("node").alias("x"), F.col("label").alias("lx"))
         oth = labels.select(F.col("node").alias("y"), F.col("label").alias("ly"))
-        others = (votes.join(best, ["node", "head"], "left_anti")
-                  .join(own, F.col("node") == F.col("x"), "left").join(oth, F.col("head") == F.col("y"), "left")
-                  .where(F.coalesce("lx", "node") != F.coalesce("ly", "head")).select("node", "head"))
-        links = C.materialize(links.unionByName(verify(others, sets, percent)), "links")
-        labels = components(links)
-        more = C.materialize(settle(met, labels, sets, percent), "more_links")
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+        others = C.materialize(
+            votes.join(best, ["node", "head"], "left_anti")
+            .join(own, F.col("node") == F.col("x"), "left").join(oth, F.col("head") == F.col("y"), "left")
+            .where(F.coalesce("lx", "node") != F.coalesce("ly", "head")).select("node", "head"), "other_pairs")
+        if not others.isEmpty():
+            links = C.materialize(links.unionByName(check(others)), "links")
+            labels = components(links)
+        more = open_pairs(met, labels, sketch, percent)
+        if more is not None:
+            more = C.materialize(more, "open_pairs")
+            if not more.isEmpty():
+                labels = components(links.unionByName(check(more)))
     if labels is None:
         out = nodes.select("node", F.col("low").alias("component"))
     else:
