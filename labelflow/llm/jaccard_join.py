@@ -11,8 +11,10 @@ band the shingle domain is partitioned by a hash into cells.  k differences
 touch at most k cells, so of k + 1 + s cells at least 1 + s agree (and of
 k + 3 cells at least three): a signature is the content of one cell, or for
 small k of a pair of cells.  Subsets of empty cells would match any sparse set;
-the spare cells allow leaving them out for all sets but those with more empty
-cells than spares.  Every pair of similar sets therefore shares a signature.
+the spare cells allow leaving them out for all sets but those with more than
+``EMPTY`` empty cells.  Similar sets therefore share 1 + s - ``EMPTY``
+signatures at least (one where pairs sign), and a node that shares fewer with
+all others together has no partner and is dropped.
 
 Candidates.  A task sorts the signatures of its slice of documents, links the
 members of a signature to its first one, and ships only the first: a signature
@@ -54,7 +56,8 @@ GROUP_SIGNATURES = 1_000_000
 BLOCK_NODES = 512
 BLOCK_SHINGLES = 8_000_000
 PIVOT_NODES = 500
-SPARE = 2          # cells beyond k + 1 where single cells sign
+SPARE = 6          # cells beyond k + 1 where single cells sign
+EMPTY = 2          # empty cells a set may have there and leave out
 PAIRED = 3         # up to this k pairs of cells sign
 
 
@@ -142,6 +145,12 @@ def _cells(k: np.ndarray) -> np.ndarray:
     return np.where(k <= PAIRED, k + 3, k + 1 + SPARE)
 
 
+def least_shared(size: np.ndarray, percent: int) -> np.ndarray:
+    """Signatures a set shares at least with any similar one."""
+    upper, k = _bands(percent)
+    return np.where(k[np.searchsorted(upper, size)] > PAIRED, 1 + SPARE - EMPTY, 1)
+
+
 def signature_count(size: np.ndarray, percent: int) -> np.ndarray:
     """Upper bound of a set's signatures, to size the groups."""
     upper, k = _bands(percent)
@@ -177,7 +186,7 @@ def signatures(row: np.ndarray, h: np.ndarray, rows: int, percent: int) -> tuple
             owner = np.repeat(np.arange(rows), m)
             number = np.arange(total) - base[owner]
             empty = m - np.bincount(owner, filled, rows).astype(np.int64)
-            single = (k[owner] > PAIRED) & (filled | (empty[owner] > SPARE))
+            single = (k[owner] > PAIRED) & (filled | (empty[owner] > EMPTY))
             tag = band[owner].astype(np.uint64) * np.uint64(1 << 32)
             out_row.append(owner[single])
             out_sig.append(C.mix(content[single] ^ C.mix(tag[single] + number[single].astype(np.uint64))))
@@ -211,11 +220,11 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def set_table(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, node, n_sig, sketch) of every row."""
+    """(id, n_shingles, node, n_sig, least, sketch) of every row."""
     rows = _texts(docs, id_col, text_col)
     schema = T.StructType([rows.schema["id"], T.StructField("n_shingles", T.LongType()),
                            T.StructField("node", T.LongType()), T.StructField("n_sig", T.LongType()),
-                           T.StructField("sketch", T.BinaryType())])
+                           T.StructField("least", T.LongType()), T.StructField("sketch", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,7 +233,8 @@ def set_table(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
                 size, key = set_keys(row, h, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(key.view(np.int64)),
-                     pa.array(signature_count(size, percent), pa.int64()), sketches(row, h, size)], schema.names)
+                     pa.array(signature_count(size, percent), pa.int64()),
+                     pa.array(least_shared(size, percent), pa.int64()), sketches(row, h, size)], schema.names)
     return rows.mapInArrow(run, schema)
 
 
@@ -264,6 +274,19 @@ def meetings(docs: DataFrame, groups: int, n: int, percent: int, text_col: str)
     return blobs.groupBy("part").applyInArrow(link, "sig bigint, node bigint, head bigint")
 
 
+def strong_meetings(met: DataFrame, table: DataFrame) -> DataFrame:
+    """Meetings of the nodes that share enough signatures, each signature under its smallest node."""
+    member = met.select("sig", "node").unionByName(met.select("sig", F.col("head").alias("node"))).distinct()
+    member = C.materialize(member, "signed")
+    least = table.groupBy("node").agg(F.min("least").alias("least"))
+    strong = (member.groupBy("node").agg(F.count(F.lit(1)).alias("c")).join(least, "node")
+              .where("c >= least").select("node"))
+    member = C.materialize(member.join(strong, "node"), "strong")
+    heads = (member.groupBy("sig").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("c"))
+             .where("c > 1").select("sig", "head"))
+    return member.join(heads, "sig").where("node <> head").select(*MEETING)
+
+
 # ---------------------------------------------------------------- verification
 
 def node_sets(docs: DataFrame, wanted: DataFrame, table: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -316,9 +339,9 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .applyInArrow(check, "u bigint, v bigint"))
 
 
-def _widths(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """sketch bytes -> (row numbers, sketches of those rows)."""
-    raw = t.column("sketch").to_pylist()
+def _widths(column) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """width in bytes -> (row numbers, sketches of those rows)."""
+    raw = column.to_pylist()
     size = np.array([len(x) for x in raw], np.int64)
     return {int(w): (at, np.frombuffer(b"".join(raw[i] for i in at), np.uint8).reshape(len(at), -1))
             for w in np.unique(size) for at in [np.flatnonzero(size == w)]}
@@ -329,8 +352,8 @@ def block_pairs(a: pa.Table, b: pa.Table, percent: int) -> tuple[np.ndarray, np.
     na, nb = a.column("n_shingles").to_numpy(), b.column("n_shingles").to_numpy()
     la, lb = a.column("label").to_numpy(), b.column("label").to_numpy()
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    other = _widths(b)
-    for w, (ia, sa) in _widths(a).items():
+    other = _widths(b.column("sketch"))
+    for w, (ia, sa) in _widths(a.column("sketch")).items():
         for v, (ib, sb) in other.items():
             # similar sizes have sketches of the same width or one step apart, more below 50 %
             if max(w, v) * percent <= 200 * min(w, v):
@@ -353,11 +376,16 @@ def sketched(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            na, sa, nb, sb = (b.column(len(keep) + i) for i in range(4))
-            na, nb, sa, sb = na.to_numpy(), nb.to_numpy(), sa.to_pylist(), sb.to_pylist()
-            ok = [bool(may_be_similar(int(x), np.frombuffer(p, np.uint8), int(y), np.frombuffer(q, np.uint8), percent))
-                  for x, p, y, q in zip(na, sa, nb, sb)]
-            yield b.select(keep).filter(pa.array(ok, pa.bool_()))
+            na, nb = b.column(len(keep)).to_numpy(), b.column(len(keep) + 2).to_numpy()
+            one, two = (_widths(b.column(len(keep) + i)) for i in (1, 3))
+            ok = np.zeros(len(b), bool)
+            for ia, sa in one.values():
+                for ib, sb in two.values():
+                    at, x, y = np.intersect1d(ia, ib, assume_unique=True, return_indices=True)
+                    for lo in range(0, len(at), 1024):
+                        i, p, q = at[lo:lo + 1024], x[lo:lo + 1024], y[lo:lo + 1024]
+                        ok[i] = may_be_similar(na[i], sa[p], nb[i], sb[q], percent)
+            yield b.select(keep).filter(pa.array(ok))
     return both.mapInArrow(run, pairs.schema)
 
 
@@ -424,7 +452,8 @@ def classes(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_
     table = C.materialize(set_table(docs, n, percent, id_col, text_col), "sets")
     total = table.agg(F.sum("n_sig")).first()[0] or 0
     groups = max(C.partitions(docs.sparkSession), math.ceil(total / GROUP_SIGNATURES))
-    met = C.materialize(meetings(docs, groups, n, percent, text_col), "meetings")
+    met = C.materialize(meetings(docs, groups, n, percent, text_col), "met")
+    met = C.materialize(strong_meetings(met, table), "meetings")
     nodes = (table.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("low")))
     labels = None
     if not met.isEmpty():
