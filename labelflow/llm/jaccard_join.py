@@ -7,14 +7,15 @@ Signatures.  Sets whose Jaccard similarity is at least p/100 differ in at most
 k = (100 - p)(|a| + |b|) / (100 + p) shingles.  Sizes fall into bands; a set
 signs for its own band and, if it may have partners in the next band, for that
 one too, so two such sets always sign for a common band and its k.  Within a
-band the shingle domain is partitioned by a hash into cells.  k differences
-touch at most k cells, so of k + 1 + s cells at least 1 + s agree (and of
-k + 3 cells at least three): a signature is the content of one cell, or for
-small k of a pair of cells.  Subsets of empty cells would match any sparse set;
-the spare cells allow leaving them out for all sets but those with more than
-``EMPTY`` empty cells.  Similar sets therefore share 1 + s - ``EMPTY``
-signatures at least (one where pairs sign), and a node that shares fewer with
-all others together has no partner and is dropped.
+band the shingle domain is partitioned by a hash into cells, some more than k:
+a signature is the content of one cell, or for small k of a pair of cells.
+Any partner of a set of size s differs from it in at most d = min(k, (100 - p)s / p)
+shingles, which touch at most d cells; with f filled cells at least f - d filled
+ones agree.  So empty cells, which would match any sparse set, are left out
+unless f <= d, and similar sets share f - d signatures at least (of pairs
+accordingly): a set that shares fewer has no partner in that band.  More, the
+f - d - 1 most frequent signatures of each set can go: the rarest one that two
+similar sets share is among those of neither.
 
 Candidates.  A task sorts the signatures of its slice of documents, links the
 members of a signature to its first one, and ships only the first: a signature
@@ -56,9 +57,9 @@ GROUP_SIGNATURES = 1_000_000
 BLOCK_NODES = 512
 BLOCK_SHINGLES = 8_000_000
 PIVOT_NODES = 500
-SPARE = 6          # cells beyond k + 1 where single cells sign
-EMPTY = 2          # empty cells a set may have there and leave out
+SPARE = 6          # cells beyond k + 1 where single cells sign, and a sixth of k more
 PAIRED = 3         # up to this k pairs of cells sign
+BAND_BITS = 127    # these bits of a signature tell its band
 
 
 # ---------------------------------------------------------------- sets
@@ -142,13 +143,43 @@ def _bands(percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cells(k: np.ndarray) -> np.ndarray:
-    return np.where(k <= PAIRED, k + 3, k + 1 + SPARE)
-
-
-def least_shared(size: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures a set shares at least with any similar one."""
-    upper, k = _bands(percent)
-    return np.where(k[np.searchsorted(upper, size)] > PAIRED, 1 + SPARE - EMPTY, 1)
+    return np.where(k <= PAIRED, k + 3, k + 1 + SPARE + k // 6)
+
+
+class _Band:
+    """Cells of the sets that sign for one band each; the other sets have none."""
+
+    def __init__(self, row: np.ndarray, h: np.ndarray, size: np.ndarray, band: np.ndarray, takes: np.ndarray,
+                 percent: int):
+        self.band = band
+        self.k = _bands(percent)[1][band]
+        self.takes = takes & (self.k > 0)
+        self.m = np.where(self.takes, _cells(self.k), 0)
+        self.base = np.cumsum(self.m) - self.m
+        self.total = int(self.m.sum())
+        use = self.takes[row]
+        r = row[use]
+        with np.errstate(over="ignore"):
+            self.x = C.mix(h[use] ^ (band[r].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        self.cell = self.base[r] + ((self.x >> np.uint64(32)) % self.m[r].astype(np.uint64)).astype(np.int64)
+        self.filled = np.bincount(self.cell, minlength=self.total) > 0
+        self.owner = np.repeat(np.arange(len(size)), self.m)
+        fill = np.bincount(self.owner, self.filled, len(size)).astype(np.int64)
+        # filled cells that agree with any similar set
+        self.agree = fill - np.minimum(self.k, (100 - percent) * size // percent)
+
+    def least(self) -> np.ndarray:
+        """Signatures a set shares at least with any similar one that signs for the band."""
+        pairs = self.agree * (self.agree - 1) // 2
+        return np.maximum(1, np.where(self.k <= PAIRED, np.where(self.agree > 1, pairs, 1), self.agree))
+
+
+def _own_and_next(row: np.ndarray, h: np.ndarray, rows: int, percent: int) -> tuple[_Band, _Band]:
+    upper, _ = _bands(percent)
+    size = np.bincount(row, minlength=rows)
+    own = np.searchsorted(upper, size)
+    both = percent * (upper[own] + 1) <= 100 * size
+    return (_Band(row, h, size, own, size > 0, percent), _Band(row, h, size, own + 1, both & (size > 0), percent))
 
 
 def signature_count(size: np.ndarray, percent: int) -> np.ndarray:
@@ -161,44 +192,32 @@ def signature_count(size: np.ndarray, percent: int) -> np.ndarray:
 
 def signatures(row: np.ndarray, h: np.ndarray, rows: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, signature) of sets given as distinct (row, shingle) sorted by row."""
-    upper, ks = _bands(percent)
-    size = np.bincount(row, minlength=rows)
-    own = np.searchsorted(upper, size)
-    both = percent * (upper[own] + 1) <= 100 * size
     out_row, out_sig = [], []
-    for band, takes in ((own, size > 0), (own + 1, both & (size > 0))):
-        k = ks[band]
-        takes = takes & (k > 0)
-        m = np.where(takes, _cells(k), 0)
-        base = np.cumsum(m) - m
-        use = takes[row]
-        r, x = row[use], h[use]
+    for b in _own_and_next(row, h, rows, percent):
         with np.errstate(over="ignore"):
-            x = C.mix(x ^ (band[r].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-            cell = base[r] + ((x >> np.uint64(32)) % m[r].astype(np.uint64)).astype(np.int64)
             # the content of a cell: a sum of hashes, exact in two halves of 32 bits
-            y = C.mix(x + np.uint64(1))
-            total = int(m.sum())
-            low = np.bincount(cell, (y & np.uint64(0xFFFFFFFF)).astype(np.float64), total).astype(np.uint64)
-            high = np.bincount(cell, (y >> np.uint64(32)).astype(np.float64), total).astype(np.uint64)
+            y = C.mix(b.x + np.uint64(1))
+            low = np.bincount(b.cell, (y & np.uint64(0xFFFFFFFF)).astype(np.float64), b.total).astype(np.uint64)
+            high = np.bincount(b.cell, (y >> np.uint64(32)).astype(np.float64), b.total).astype(np.uint64)
             content = C.mix(low * np.uint64(0xC2B2AE3D27D4EB4F) + high)
-            filled = np.bincount(cell, minlength=total) > 0
-            owner = np.repeat(np.arange(rows), m)
-            number = np.arange(total) - base[owner]
-            empty = m - np.bincount(owner, filled, rows).astype(np.int64)
-            single = (k[owner] > PAIRED) & (filled | (empty[owner] > EMPTY))
-            tag = band[owner].astype(np.uint64) * np.uint64(1 << 32)
-            out_row.append(owner[single])
-            out_sig.append(C.mix(content[single] ^ C.mix(tag[single] + number[single].astype(np.uint64))))
+            number = np.arange(b.total) - b.base[b.owner]
+            tag = b.band.astype(np.uint64) * np.uint64(1 << 32)
+
+            def put(who, hashes):
+                out_row.append(who)
+                out_sig.append((hashes & np.uint64(~BAND_BITS & (1 << 64) - 1))
+                               | (b.band[who].astype(np.uint64) & np.uint64(BAND_BITS)))
+
+            single = (b.k[b.owner] > PAIRED) & (b.filled | (b.agree[b.owner] < 1))
+            who = b.owner[single]
+            put(who, C.mix(content[single] ^ C.mix(tag[who] + number[single].astype(np.uint64))))
             for kk in range(1, PAIRED + 1):
-                mine = np.flatnonzero(takes & (k == kk))
-                for i, (a, b) in enumerate(itertools.combinations(range(kk + 3), 2)):
-                    ca, cb = base[mine] + a, base[mine] + b
-                    ok = (filled[ca] & filled[cb]) | (empty[mine] > 1)
-                    pair = content[ca] * np.uint64(3) + content[cb]
-                    out_row.append(mine[ok])
-                    out_sig.append(C.mix(pair ^ C.mix(band[mine].astype(np.uint64) * np.uint64(1 << 32)
-                                                      + np.uint64(1 << 20) + np.uint64(i)))[ok])
+                mine = np.flatnonzero(b.takes & (b.k == kk))
+                for i, (c, d) in enumerate(itertools.combinations(range(kk + 3), 2)):
+                    cc, cd = b.base[mine] + c, b.base[mine] + d
+                    ok = (b.filled[cc] & b.filled[cd]) | (b.agree[mine] < 2)
+                    pair = content[cc] * np.uint64(3) + content[cd]
+                    put(mine[ok], C.mix(pair ^ C.mix(tag[mine] + np.uint64(1 << 20) + np.uint64(i)))[ok])
     return np.concatenate(out_row), np.concatenate(out_sig)
 
 
@@ -220,21 +239,24 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def set_table(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, node, n_sig, least, sketch) of every row."""
+    """(id, n_shingles, node, n_sig, band, least, least_next, sketch) of every row."""
     rows = _texts(docs, id_col, text_col)
     schema = T.StructType([rows.schema["id"], T.StructField("n_shingles", T.LongType()),
                            T.StructField("node", T.LongType()), T.StructField("n_sig", T.LongType()),
-                           T.StructField("least", T.LongType()), T.StructField("sketch", T.BinaryType())])
+                           T.StructField("band", T.LongType()), T.StructField("least", T.LongType()),
+                           T.StructField("least_next", T.LongType()), T.StructField("sketch", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, off in C.text_slices(b.column(1)):
                 row, h = shingle_sets(data, off, n)
                 size, key = set_keys(row, h, hi - lo)
+                own, after = _own_and_next(row, h, hi - lo, percent)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(key.view(np.int64)),
-                     pa.array(signature_count(size, percent), pa.int64()),
-                     pa.array(least_shared(size, percent), pa.int64()), sketches(row, h, size)], schema.names)
+                     pa.array(signature_count(size, percent), pa.int64()), pa.array(own.band & BAND_BITS, pa.int64()),
+                     pa.array(own.least(), pa.int64()), pa.array(after.least(), pa.int64()),
+                     sketches(row, h, size)], schema.names)
     return rows.mapInArrow(run, schema)
 
 
@@ -275,13 +297,16 @@ def meetings(docs: DataFrame, groups: int, n: int, percent: int, text_col: str)
 
 
 def strong_meetings(met: DataFrame, table: DataFrame) -> DataFrame:
-    """Meetings of the nodes that share enough signatures, each signature under its smallest node."""
+    """Meetings over the signatures that similar sets can't do without, each under its smallest node."""
     member = met.select("sig", "node").unionByName(met.select("sig", F.col("head").alias("node"))).distinct()
     member = C.materialize(member, "signed")
-    least = table.groupBy("node").agg(F.min("least").alias("least"))
-    strong = (member.groupBy("node").agg(F.count(F.lit(1)).alias("c")).join(least, "node")
-              .where("c >= least").select("node"))
-    member = C.materialize(member.join(strong, "node"), "strong")
+    least = table.groupBy("node").agg(*[F.min(c).alias(c) for c in ("band", "least", "least_next")])
+    counts = member.groupBy("sig").agg(F.count(F.lit(1)).alias("c"))
+    ranked = (member.join(counts, "sig").join(least, "node")
+              .withColumn("b", F.col("sig").bitwiseAND(F.lit(BAND_BITS).cast("long")))
+              .withColumn("place", F.row_number().over(
+                  Window.partitionBy("node", "b").orderBy(F.desc("c"), "sig"))))
+    member = C.materialize(ranked.where("place >= IF(b = band, least, least_next)").select("sig", "node"), "strong")
     heads = (member.groupBy("sig").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("c"))
              .where("c > 1").select("sig", "head"))
     return member.join(heads, "sig").where("node <> head").select(*MEETING)

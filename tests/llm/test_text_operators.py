@@ -245,6 +245,40 @@ def test_similar_sets_share_a_signature():
                 assert set(sig[at == 0]) & set(sig[at == 1]), (percent, size)
 
 
+@pytest.mark.parametrize("percent", [80, 90, 50])
+def test_similar_sets_share_a_signature_that_both_keep(percent):
+    """Without the f - d - 1 most frequent signatures of each set every similar pair still meets."""
+    r = np.random.default_rng(8)
+    sets = []
+    for size in [2, 5, 11, 17, 18, 26, 40, 90, 300] * 4:
+        base = r.integers(0, 2 ** 63, size, dtype=np.uint64)
+        sets.append(np.unique(base))
+        for _ in range(4):
+            lose = int(r.integers(0, size * (100 - percent) // 100 + 1))
+            sets.append(np.unique(np.concatenate([r.permutation(base)[lose:],
+                                                  r.integers(0, 2 ** 63, lose // 2, dtype=np.uint64)])))
+    row, h, n = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets), len(sets)
+    at, sig = J.signatures(row, h, n, percent)
+    own, after = J._own_and_next(row, h, n, percent)
+    count, kept = Counter(sig.tolist()), []
+    for i in range(n):
+        mine = set()
+        for band in {x & J.BAND_BITS for x in sig[at == i].tolist()}:
+            met = sorted((-count[x], x) for x in set(sig[at == i].tolist()) if x & J.BAND_BITS == band and count[x] > 1)
+            least = (own if band == own.band[i] & J.BAND_BITS else after).least()[i]
+            mine |= {x for _, x in met[least - 1:]}
+        kept.append(mine)
+    checked = 0
+    for i in range(n):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            either = len(sets[i]) + len(sets[j]) - both
+            if both < either and 100 * both >= percent * either:
+                checked += 1
+                assert kept[i] & kept[j], (len(sets[i]), len(sets[j]))
+    assert checked > 50
+
+
 def test_null_ids_take_no_part_in_links(spark):
     text = cases.texts()[12]
     docs = cases.frame(spark, [text, text + " more", text])
