@@ -314,11 +314,16 @@ def strong_meetings(met: DataFrame, table: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- verification
 
-def node_sets(docs: DataFrame, wanted: DataFrame, table: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, s array<long>) of the nodes in ``wanted`` (node); texts are joined by id only."""
-    ids = (table.where("id is not null").join(wanted, "node").groupBy("node").agg(F.min("id").alias("low"))
+def node_texts(docs: DataFrame, nodes: DataFrame, table: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, t) of the nodes in ``nodes`` (node); texts are joined by id only, each once for all checks."""
+    ids = (table.where("id is not null").join(nodes, "node").groupBy("node").agg(F.min("id").alias("low"))
            .select("node", "low"))
-    rows = _texts(docs, id_col, text_col).join(ids.hint("shuffle_hash"), F.col("id") == F.col("low")).select("node", "t")
+    return _texts(docs, id_col, text_col).join(ids.hint("shuffle_hash"), F.col("id") == F.col("low")).select("node", "t")
+
+
+def node_sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(node, s array<long>) of the nodes in ``wanted`` (node)."""
+    rows = texts.join(wanted, "node", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -485,13 +490,14 @@ def classes(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_
         met_nodes = met.select("node").unionByName(met.select(F.col("head").alias("node"))).distinct()
         sketch = C.materialize(table.join(met_nodes, "node").dropDuplicates(["node"])
                                .select("node", "n_shingles", "sketch"), "sketches")
+        texts = C.materialize(node_texts(docs, met_nodes, table, id_col, text_col), "texts")
         votes = met.groupBy("node", "head").agg(F.count(F.lit(1)).alias("n"))
         votes = C.materialize(sketched(votes, sketch, percent), "votes")
 
         def check(pairs):
             """Similar pairs among distinct (node, head); sets are built for their nodes only."""
             wanted = pairs.select("node").unionByName(pairs.select(F.col("head").alias("node"))).distinct()
-            return verify(pairs, C.materialize(node_sets(docs, wanted, table, n, id_col, text_col), "node_sets"), percent)
+            return verify(pairs, C.materialize(node_sets(texts, wanted, n), "node_sets"), percent)
 
         best = votes.groupBy("node").agg(F.max_by("head", F.struct("n", "head")).alias("head"))
         links = C.materialize(check(best), "links")
