@@ -1,10 +1,12 @@
 """Connected components of an edge table, all in Spark.
 
 Alternates large-star and small-star steps: each node links its larger (then
-its smaller) neighbours to the smallest one it knows.  Every step is one
-map-side combined minimum and one join; the edge table shrinks to a star per
-component.  Tables are written between rounds, nothing reaches the driver but
-a row count and a checksum.
+its smaller) neighbours to the smallest one it knows.  With every edge pointing
+to its smaller end, a large-star step replaces that end by its own least
+neighbour: one map-side combined minimum and one join.  The same minimum tells
+whether each component is a star around its smallest node, which ends the loop
+without a round to confirm it.  A step never adds an edge.  Tables are written
+between steps, nothing reaches the driver but whether a table is empty.
 """
 
 from __future__ import annotations
@@ -15,33 +17,25 @@ from pyspark.sql import functions as F
 from labelflow.llm import common as C
 
 
-def _step(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (u, v) without order; the step's new edges (u, v) with v < u."""
-    a = edges.select("u", "v")
-    near = a.unionByName(a.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    if not large:
-        near = near.where("v < u")
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select(
-        F.col("u").alias("w"), F.least("m", "u").alias("m"))
-    joined = near.join(least, near.u == least.w)
-    if large:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = (joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
-               .unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))))
-    return out.where("u <> v").distinct()
+def _least(edges: DataFrame) -> DataFrame:
+    """(node, low, high, centre): least and largest smaller neighbour, whether larger ones exist."""
+    ends = edges.select(F.col("u").alias("node"), "v", F.lit(False).alias("centre")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("v"), F.lit(True).alias("centre")))
+    return ends.groupBy("node").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.max("centre").alias("centre"))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, label): label is the smallest node of the component; nodes without an edge are left out."""
+    """(node, label), written: label is the smallest node of the component; nodes without an edge are left out."""
     now = C.materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                        .where("u <> v").distinct(), name)
-    mark = None
+                        .where("u <> v"), name)
     while True:
-        now = C.materialize(_step(_step(now, True), False), name)
-        new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if new == mark:
-            break
-        mark = new
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
-        now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        least = C.materialize(_least(now), f"{name}_least")
+        label = F.coalesce("low", "node")
+        if least.where("low <> high or (centre and low is not null)").isEmpty():
+            return least.select("node", label.alias("label"))
+        jumped = C.materialize(now.join(least.select(F.col("node").alias("v"), label.alias("m")), "v")
+                               .select("u", F.col("m").alias("v")), name)
+        low = jumped.groupBy("u").agg(F.min("v").alias("m"))
+        # the edge to the least neighbour stays, each other neighbour is linked to it
+        now = C.materialize(jumped.join(low, "u").select(
+            F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")), name)

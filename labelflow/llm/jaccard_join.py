@@ -500,8 +500,12 @@ def classes(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_
             return verify(pairs, C.materialize(node_sets(texts, wanted, n), "node_sets"), percent)
 
         best = votes.groupBy("node").agg(F.max_by("head", F.struct("n", "head")).alias("head"))
-        links = C.materialize(check(best), "links")
-        labels = components(links)
+        def joined(links):
+            """Classes after new links (u, v): a star for each old class, and the links."""
+            stars = labels.where("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))
+            return components(stars.unionByName(links))
+
+        labels = components(check(best))
         own = labels.select(F.col("node").alias("x"), F.col("label").alias("lx"))
         oth = labels.select(F.col("node").alias("y"), F.col("label").alias("ly"))
         others = C.materialize(
@@ -509,13 +513,12 @@ def classes(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_
             .join(own, F.col("node") == F.col("x"), "left").join(oth, F.col("head") == F.col("y"), "left")
             .where(F.coalesce("lx", "node") != F.coalesce("ly", "head")).select("node", "head"), "other_pairs")
         if not others.isEmpty():
-            links = C.materialize(links.unionByName(check(others)), "links")
-            labels = components(links)
+            labels = joined(check(others))
         more = open_pairs(met, labels, sketch, percent)
         if more is not None:
             more = C.materialize(more, "open_pairs")
             if not more.isEmpty():
-                labels = components(links.unionByName(check(more)))
+                labels = joined(check(more))
     if labels is None:
         out = nodes.select("node", F.col("low").alias("component"))
     else:
