@@ -28,9 +28,19 @@ def _tax(spark):
     return TX.taxonomy_dim(spark, TX.EVENT_TAXONOMY, "events")
 
 
-@register("taxonomy_dim", """SELECT DISTINCT 'nation_region' AS taxonomy, CAST(n.n_nationkey AS VARCHAR) AS key,
-  r.r_name AS name FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey""")
+@register("taxonomy_dim", f"""WITH {TAX_SQL}
+SELECT 'events' AS taxonomy, tx.key, tx.name, count(e.event_id) AS n
+FROM tx LEFT JOIN events e ON e.event_type = tx.key GROUP BY tx.key, tx.name""")
 def q_taxonomy_dim(spark, sf):
+    """The dimension with the rows that carry each key."""
+    n = _events(spark, sf).groupBy(F.col("event_type").alias("key")).agg(F.count("event_id").alias("n"))
+    return _tax(spark).join(n, "key", "left").select(
+        "taxonomy", "key", "name", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
+@register("taxonomy_from_table", """SELECT DISTINCT 'nation_region' AS taxonomy, CAST(n.n_nationkey AS VARCHAR) AS key,
+  r.r_name AS name FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey""")
+def q_taxonomy_from_table(spark, sf):
     n = read_table(spark, sf, "nation", "n_nationkey", "n_regionkey")
     r = read_table(spark, sf, "region", "r_regionkey", "r_name")
     j = n.join(r, n.n_regionkey == r.r_regionkey)

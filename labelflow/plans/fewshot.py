@@ -68,15 +68,20 @@ from labelflow.operators.options import prompt_options_topn  # noqa: E402
 
 
 def retrieve(df: DataFrame, id_col: str, vec_col: str, class_col: str, text_col: str | None,
-             n_shot: int, top_n: int, seed=DEFAULT_SEED) -> tuple[DataFrame, DataFrame]:
+             n_shot: int, top_n: int, seed=DEFAULT_SEED,
+             test: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(ranked options per query, queries).
 
+    The exemplars come from ``df``; the queries are the rows of ``test``
+    (same columns), or without it the other rows of ``df``.
+
     ``n_shot`` exemplars per class (``n_shot == 0``: one option per class
     whose text is the class name, with the class's first exemplar vector);
     every query gets its ``top_n`` most similar exemplars as options
     ``(id, rnk, exemplar_id, sim, option_text, category)``.
     """
     ex, queries = split_exemplars(df, id_col, class_col, max(n_shot, 1), seed)
+    queries = queries if test is None else test
     text = F.col(class_col).cast("string") if (n_shot == 0 or text_col is None) else F.col(text_col)
     ex = ex.select(F.col(id_col).alias("exemplar_id"), F.col(vec_col).alias("embedding"),
                    text.alias("option_text"), F.col(class_col).cast("string").alias("category"))
@@ -112,10 +117,11 @@ def vote_scorer(ranked: DataFrame, id_col: str) -> DataFrame:
 def fewshot_evaluate(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
                      class_col: str = "label", text_col: str | None = None, n_shot: int = 5,
                      top_n: int = 5, predictions: DataFrame | None = None,
-                     seed=DEFAULT_SEED) -> tuple[DataFrame, DataFrame]:
+                     seed=DEFAULT_SEED, test: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(scored rows, report).
 
-    Retrieve ``top_n`` exemplars per query, obtain a raw prediction (from
+    Retrieve ``top_n`` exemplars per query (a row of ``test``, or without it
+    a row of ``df`` that is no exemplar), obtain a raw prediction (from
     ``predictions`` = ``(id, raw_prediction)`` produced by any scorer over
     the prompts, or from :func:`vote_scorer`), snap the lower-cased
     prediction onto the row's lower-cased options, map the chosen option to
@@ -123,7 +129,7 @@ def fewshot_evaluate(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     """
     from labelflow.functions.text import extract_class_name
 
-    ranked, queries = retrieve(df, id_col, vec_col, class_col, text_col, n_shot, top_n, seed)
+    ranked, queries = retrieve(df, id_col, vec_col, class_col, text_col, n_shot, top_n, seed, test)
     raw = predictions if predictions is not None else vote_scorer(ranked, id_col)
     opts = ranked.groupBy(id_col).agg(F.collect_list(F.lower("option_text")).alias("_opts"))
     scored = (queries.select(id_col, F.lower(F.col(class_col).cast("string")).alias("y"))

@@ -12,8 +12,6 @@ hierarchy) are data, not code: load them with :func:`read_taxonomy` /
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,16 +74,20 @@ def hierarchy_dim(spark: SparkSession, mapping: dict) -> DataFrame:
     return spark.createDataFrame(rows, "l2 string, name string")
 
 
+def _entries(spark: SparkSession, path: str, value: str) -> DataFrame:
+    """``(key, value)`` of a JSON object file on any storage Spark reads; a broken file is an error."""
+    parsed = F.from_json("value", f"map<string,{value}>", {"mode": "FAILFAST"})
+    return spark.read.text(path, wholetext=True).select(F.explode(parsed).alias("key", "value"))
+
+
 def read_taxonomy(spark: SparkSession, path: str, name: str = "taxonomy") -> DataFrame:
     """Taxonomy from a JSON object file ``{"key": "name", ...}``."""
-    with open(path) as f:
-        return taxonomy_dim(spark, json.load(f), name)
+    return _entries(spark, path, "string").select(F.lit(name).alias("taxonomy"), "key", F.col("value").alias("name"))
 
 
 def read_hierarchy(spark: SparkSession, path: str) -> DataFrame:
     """Hierarchy from a JSON object file ``{"group": ["name", ...], ...}``."""
-    with open(path) as f:
-        return hierarchy_dim(spark, json.load(f))
+    return _entries(spark, path, "array<string>").select(F.col("key").alias("l2"), F.explode("value").alias("name"))
 
 
 def map_labels(df: DataFrame, label_col: str, taxonomy: DataFrame, out_col: str = "label",
