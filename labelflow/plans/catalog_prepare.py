@@ -93,7 +93,7 @@ SELECT company_name, (row_number() OVER (PARTITION BY company_name ORDER BY pos)
        sample_text, class_name FROM cx""")
 def q_explode_examples(spark, sf):
     nest = nested.nest_examples(_conv(spark, sf))
-    # as a hand-made file holds it: no stored positions, array order only
+    # no stored positions: array order and the records' first positions only
     plain = nest.withColumn("Examples", F.transform("Examples", lambda e: e.dropFields("pos")))
     return nested.explode_examples(plain).select("company_name", "pos", "sample_text", "class_name")
 

@@ -3,17 +3,18 @@
 Read with an explicit schema (``Taxonomy`` is never read: writers store it as
 an array in one file and as an empty object in another, so inference would
 disagree between files).  ``explode_examples`` flattens with the example's
-stored ``pos`` when present, else its array position.
+stored ``pos`` when present, else its array position in the whole company.
 
 Scale: a company is not one record.  ``nest_examples`` cuts each company
 into records of at most ``max_examples`` examples (by ranges of the order
 column), so no task ever holds a whole company; readers treat repeated
-company names as one company.
+company names as one company.  Each record holds its ``First Position``, the
+number of the company's examples in the records before it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +29,8 @@ EXAMPLE_TYPE = T.StructType([
 NESTED_SCHEMA = T.StructType([
     T.StructField("Company Name", T.StringType()),
     T.StructField("Examples", T.ArrayType(EXAMPLE_TYPE)),
+    # written by nest_examples; absent (null) in hand-made files
+    T.StructField("First Position", T.LongType()),
 ])
 
 
@@ -51,13 +54,25 @@ MAX_EXAMPLES_PER_RECORD = 10_000
 def explode_examples(nested: DataFrame) -> DataFrame:
     """One row per example with the company copied down:
     ``company_name, pos, sample_text, class_name, class_number, entity_action``.
-    ``pos`` is the stored position when the file has one, else the array
-    position (one record per company, as hand-made files hold it)."""
-    ex = nested.select(F.col("`Company Name`").alias("company_name"),
-                       F.posexplode("Examples").alias("_i", "e"))
-    stored = ([F.col("e.pos")] if "pos" in nested.schema["Examples"].dataType.elementType.names
-              else [])
-    pos = F.coalesce(*stored, F.col("_i").cast("bigint"))
+    ``pos`` is the stored position when the file has one, else the record's
+    first position plus the array position.  A record without a first position
+    is its whole company (as hand-made files hold it); reading positions fails
+    if such a company has several records."""
+    stored = "pos" in nested.schema["Examples"].dataType.elementType.names
+    first = (F.col("`First Position`") if "First Position" in nested.columns
+             else F.lit(None).cast("bigint"))
+    unplaced = F.exists("Examples", lambda e: e["pos"].isNull() if stored else F.lit(True))
+    repeated = (nested.filter(first.isNull() & unplaced).groupBy("Company Name")
+                      .agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+                      .agg(F.max(F.coalesce("Company Name", F.lit("null"))).alias("_repeated")))
+    ex = (nested.select(F.col("`Company Name`").alias("company_name"), first.alias("_first"),
+                        F.posexplode("Examples").alias("_i", "e"))
+                .crossJoin(F.broadcast(repeated)))                      # one row
+    refuse = F.raise_error(F.concat(F.lit("several records without a first position: "),
+                                    F.col("_repeated"))).cast("bigint")
+    start = (F.when(F.col("_first").isNotNull(), F.col("_first"))
+              .when(F.col("_repeated").isNotNull(), refuse).otherwise(F.lit(0)))
+    pos = F.coalesce(*([F.col("e.pos")] if stored else []), start + F.col("_i"))
     return ex.select("company_name", pos.alias("pos"),
                      F.col("e.sample_text").alias("sample_text"),
                      F.col("e.class").alias("class_name"),
@@ -70,20 +85,29 @@ def nest_examples(flat: DataFrame, company_col: str = "company_name", pos_col: s
                   number_col: str = "class_number",
                   entity_col: str | None = None,
                   max_examples: int = MAX_EXAMPLES_PER_RECORD) -> DataFrame:
-    """Regroup flat rows into ``{Company Name, Examples: [...]}`` records
-    ordered by ``pos`` (integers, unique within a company).  A record covers
-    one range ``[k*max_examples, (k+1)*max_examples)`` of ``pos``, so it
-    holds at most ``max_examples`` examples however large the company."""
+    """Regroup flat rows into ``{Company Name, Examples: [...], First Position}``
+    records ordered by ``pos`` (integers, unique within a company).  A record
+    covers one range ``[k*max_examples, (k+1)*max_examples)`` of ``pos``, so it
+    holds at most ``max_examples`` examples however large the company.  First
+    positions come from the records' counts alone; examples meet only by record."""
     fields = [F.col(pos_col).cast("bigint").alias("_pos"), F.col(text_col).alias("sample_text"),
               F.col(class_col).alias("class"), F.col(number_col).cast("int").alias("class number")]
     fields.append((F.col(entity_col) if entity_col else F.lit(None).cast("string"))
                   .alias("entity_action"))
-    chunk = F.floor(F.col(pos_col) / F.lit(max_examples)).alias("_chunk")
-    g = (flat.groupBy(company_col, chunk)
-             .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_ex")))
-    return g.select(F.col(company_col).alias("Company Name"),
+    chunk = F.floor(F.col(pos_col) / F.lit(max_examples))
+    # as a struct, a null company equals itself in the join
+    rows = flat.select(F.struct(F.col(company_col).alias("company"), chunk.alias("chunk")).alias("_record"),
+                       F.struct(*fields).alias("_e"))
+    before = (Window.partitionBy("_record.company").orderBy("_record.chunk")
+                    .rowsBetween(Window.unboundedPreceding, -1))
+    firsts = (rows.groupBy("_record").agg(F.count(F.lit(1)).alias("_n"))
+                  .select("_record", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")))
+    g = (rows.groupBy("_record").agg(F.array_sort(F.collect_list("_e")).alias("_ex"))
+             .join(firsts, "_record"))
+    return g.select(F.col("_record.company").alias("Company Name"),
                     F.transform("_ex", lambda e: e.withField("pos", e["_pos"]).dropFields("_pos"))
-                     .alias("Examples"))
+                     .alias("Examples"),
+                    F.col("_first").cast("bigint").alias("First Position"))
 
 
 def write_nested_dataset(nested: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -7,6 +7,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from labelflow.sources import csv_io, nested
@@ -58,3 +59,31 @@ def test_nested_writer_bounds_records_and_keeps_positions(spark):
     got = sorted((r.company_name, r.pos, r.sample_text) for r in back.collect())
     want = sorted((r.company_name, r.pos, r.sample_text) for r in flat.collect())
     assert got == want
+
+
+def _without_pos(nest):
+    return nest.withColumn("Examples", F.transform("Examples", lambda e: e.dropFields("pos")))
+
+
+def test_positions_go_on_from_record_to_record(spark):
+    spread = {"five": [0, 1, 2, 3, 4], "gaps": [1, 4, 5, 6, 20, 21], None: [7, 8, 9], "one": [3]}
+    flat = spark.createDataFrame([(c, p, f"{c} {i}") for c, ps in spread.items() for i, p in enumerate(ps)],
+                                 "company_name string, pos long, sample_text string")
+    flat = flat.withColumns({"class_name": F.lit("c"), "class_number": F.lit(1)})
+    nest = nested.nest_examples(flat, max_examples=2)
+    assert nest.select(F.max(F.size("Examples"))).first()[0] == 2
+    want = sorted((str(c), i, f"{c} {i}") for c, ps in spread.items() for i in range(len(ps)))
+    path = os.path.join(_tmp(), "nested")
+    nested.write_nested_dataset(_without_pos(nest), path)
+    for n in (_without_pos(nest), nested.read_nested_dataset(spark, path, multi_line=False)):
+        got = nested.explode_examples(n).collect()
+        assert sorted((str(r.company_name), r.pos, r.sample_text) for r in got) == want
+
+
+def test_company_in_several_records_needs_positions(spark):
+    flat = spark.range(5).selectExpr("'five' AS company_name", "id AS pos", "'t' AS sample_text",
+                                     "'c' AS class_name", "1 AS class_number")
+    nest = nested.nest_examples(flat, max_examples=2).drop("First Position")
+    assert sorted(r.pos for r in nested.explode_examples(nest).collect()) == [0, 1, 2, 3, 4]
+    with pytest.raises(Exception, match="several records without a first position: five"):
+        nested.explode_examples(_without_pos(nest)).collect()
