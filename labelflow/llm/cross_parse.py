@@ -1,7 +1,8 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton is built of a bounded sample of labelled
-text.  A text is parsed against it into phrases: each phrase is the longest
+text: pieces of up to ``SAMPLE_DOCS`` distinct texts, all as long as each other
+as far as the texts reach, ``SAMPLE_BYTES`` in all.  A text is parsed against it into phrases: each phrase is the longest
 match in the sample from where the last one ended (an unknown byte is a phrase
 of its own).  The fewer phrases, the lower the cross entropy; the language with
 the fewest normalised phrases (phrases x log2 of the sample size, per byte)
@@ -34,7 +35,7 @@ from labelflow.llm import common as C
 
 SAMPLE_BYTES = 24_000       # labelled text a language is learned from
 SAMPLE_TOTAL = 1_000_000    # of all languages together
-SAMPLE_DOCS = 200           # documents a language's sample is drawn from
+SAMPLE_DOCS = 200           # distinct texts a language's sample is drawn from
 WINDOW = 1024
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -141,25 +142,59 @@ def phrases(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def sample_texts(docs: DataFrame, labelled, id_col: str, text_col: str, lang_col: str) -> dict[str, bytes]:
-    """At most SAMPLE_DOCS documents and SAMPLE_BYTES bytes of each language, in the order of a hash of the id.
+def level(sizes: list[int], total: int) -> int:
+    """Largest size such that pieces of at most that size sum up to ``total`` or less."""
+    left = total
+    for i, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - i) > left:
+            return left // (len(sizes) - i)
+        left -= n
+    return max(sizes, default=0)
+
+
+def sample_pieces(docs: DataFrame, labelled, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, int]:
+    """(lang, key, t): one piece of each drawn text, and the bytes a language may have.
 
-    Ids are drawn first; only the drawn documents' texts leave the scan, and a
-    long one gives its first bytes only (predictions read whole texts).
+    Distinct texts are drawn in the order of their digests, so copies count once.
+    The pieces of a language have twice its bytes at most (blanks are dropped
+    later), dealt evenly; a piece starts anywhere in its text, by the digest.
     """
-    ids = docs.where(labelled).select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang")).dropna()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("i"), "i")
-    drawn = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS).distinct()
-    texts = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"),
-                        F.substring(F.col(text_col).cast("string"), 1, SAMPLE_BYTES).alias("t"))
-    rows = texts.join(F.broadcast(drawn), ["i", "lang"]).where("t is not null").collect()
-    samples: dict[str, bytearray] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.n, r.t)):
+    text = F.col(text_col).cast("string")
+    rows = docs.where(labelled).select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"),
+                                       F.unhex(F.md5(text)).alias("key"), text.alias("t")).dropna()
+    distinct = rows.groupBy("lang", "key").agg(F.max(F.octet_length("t")).alias("size"),
+                                               F.max(F.length("t")).alias("chars")).where("size > 0")
+    by_key = Window.partitionBy("lang").orderBy("key")
+    drawn = C.materialize(distinct.withColumn("n", F.row_number().over(by_key)).where(F.col("n") <= SAMPLE_DOCS),
+                          "language_sample")
+    most = min(SAMPLE_BYTES, SAMPLE_TOTAL // max(1, drawn.select("lang").distinct().count()))
+    # with very many languages each has fewer texts, not shorter pieces
+    drawn = drawn.where(F.col("n") <= (max(1, most * SAMPLE_DOCS // SAMPLE_BYTES) if most else 0))
+    by_size, every = Window.partitionBy("lang").orderBy("size", "key"), Window.partitionBy("lang")
+    # an even share of what the smaller texts leave; the largest of these is the length of a cut piece
+    share = ((F.lit(2 * most) - F.sum("size").over(by_size) + F.col("size"))
+             / (F.count(F.lit(1)).over(every) - F.row_number().over(by_size) + 1))
+    cut = (drawn.withColumn("share", share).withColumn("share", F.max("share").over(every))
+           .withColumn("take", F.floor(F.least("size", "share") * F.col("chars") / F.col("size")).cast("int"))
+           .withColumn("at", (F.pmod(F.xxhash64("key"), F.col("chars") - F.col("take") + 1) + 1).cast("int"))
+           .select("lang", "key", "take", "at"))
+    return (rows.join(F.broadcast(cut), ["lang", "key"])
+            .select("lang", "key", F.substring("t", F.col("at"), F.col("take")).alias("t"))
+            .groupBy("lang", "key").agg(F.min("t").alias("t"))), most
+
+
+def sample_texts(docs: DataFrame, labelled, id_col: str, text_col: str, lang_col: str) -> dict[str, bytes]:
+    """Plain bytes of the drawn texts' pieces by language, a blank between them; predictions read whole texts."""
+    pieces, most = sample_pieces(docs, labelled, id_col, text_col, lang_col)
+    found: dict[str, list[bytes]] = {}
+    for r in sorted(pieces.collect(), key=lambda r: (r.lang, r.key)):
         raw = np.frombuffer(r.t.lower().encode() + b" ", np.uint8)
-        own = samples.setdefault(r.lang, bytearray())
-        own += plain_bytes(raw, np.array([0, len(raw)]))[0].tobytes()
-    most = min(SAMPLE_BYTES, SAMPLE_TOTAL // max(1, len(samples)))
-    return {k: bytes(v[:most]) for k, v in samples.items()}
+        found.setdefault(r.lang, []).append(plain_bytes(raw, np.array([0, len(raw)]))[0].tobytes())
+    samples = {}
+    for k, v in found.items():
+        size = level([len(x) for x in v], most)
+        samples[k] = b"".join(x if len(x) <= size else x[:size - 1] + b" " for x in v if size)
+    return samples
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -62,6 +62,32 @@ def test_language_accuracy_and_awkward_texts(spark):
     assert {r.lang_pred for r in X.predict(docs, nothing).collect()} == {"und"} and X.predict(blank, model).count() == 0
 
 
+def test_language_sample_holds_many_texts(spark):
+    """Copies, a very long text and a repeated id leave room for the other texts."""
+    words = [f"word{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]} " for i in range(60)]
+    rows = [(i, "copy " * 400, "en") for i in range(600)] + [(1000 + i, w * 300, "en") for i, w in enumerate(words)]
+    rows += [(i, "y" * 50 + " long" * 40_000 if i == 5 else w * 9, "fr") for i, w in enumerate(words)]
+    rows += [(7, "again " * 3000, "de")] * 300 + [(8, None, "de"), (9, "", "de"), (None, "no id", "de"), (10, "no lang", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    pieces, most = X.sample_pieces(docs, F.lit(True), "doc_id", "text", "lang")
+    got = pieces.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t")).alias("size")).collect()
+    assert {r.lang: r.n for r in got} == {"en": 61, "fr": 60, "de": 1} and all(r.size <= 2 * most for r in got)
+    samples = X.sample_texts(docs, F.lit(True), "doc_id", "text", "lang")
+    assert set(samples) == {"en", "fr", "de"} and all(len(v) <= X.SAMPLE_BYTES for v in samples.values())
+    assert len(samples["en"]) > 0.98 * X.SAMPLE_BYTES and samples["en"].count(b"copy") < 100
+    for k in ("en", "fr"):
+        assert sum(w.strip().encode() in samples[k] for w in words) >= 59      # the long French text has one's place
+    assert b"long" in samples["fr"] and b"no " not in samples["de"]
+
+
+def test_very_many_languages_share_the_sample(spark):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "repeat(concat('text', id, ' '), 40) AS text",
+                                        "concat('l', id % 2000) AS lang")
+    pieces, most = X.sample_pieces(docs, F.lit(True), "doc_id", "text", "lang")
+    total = pieces.agg(F.sum(F.octet_length("t")), F.countDistinct("lang")).first()
+    assert most == X.SAMPLE_TOTAL // 2000 and total[0] <= 2 * X.SAMPLE_TOTAL and total[1] == 2000
+
+
 # ---------------------------------------------------------------- classifiers
 
 def rates(rows, truth, held_only=True):
