@@ -8,8 +8,8 @@ closed form and clipped to [0, C], the primal weights kept up to date.  A
 two-parameter logistic fit on the training margins turns margins into scores.
 
 Bounds: ``PER_CLASS`` documents of each class and ``FEATURES`` features, drawn
-in the order of a hash of the id.  Scoring reads every whole text.  An id
-labelled more than once has quality 1 if one of its labels says so.  Without
+in the order of a hash of the id, one row of each id.  Scoring reads every
+whole text.  An id labelled more than once has quality 1 if one of its labels says so.  Without
 labels every score is 0.5, with a single class that class; an empty or null
 text has no indicator and gets the bias.
 """

@@ -137,6 +137,14 @@ def test_classifiers_on_planted_words_and_without_labels(spark):
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} >= set(range(1, 200, 2))
 
 
+def test_a_repeated_id_is_drawn_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(500)] + [(2, None), (3, "c"), (4, "no")],
+                                 "doc_id long, text string").repartition(4)
+    chosen = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1)], "i long, y int")
+    got = sorted((r.y, r.t) for r in W.draw(docs, chosen, "doc_id", "text", "drawn").collect())
+    assert got == [(0, ""), (0, "text 0"), (1, "c"), (1, "text 0")]
+
+
 def test_nn_pu_separates_with_toxic_rows_in_the_unlabelled_side():
     r = np.random.default_rng(1)
     positive = np.column_stack([np.ones(200), r.integers(0, 2, (200, 20))]).astype(np.float32)
