@@ -194,9 +194,10 @@ def score(docs: DataFrame, model: Linear, extract: Extract, text_col: str = "tex
 
 def draw(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
     """(y, t) of one document for each row of ``chosen`` (i, y), a table of bounded size; written once.
+    Further columns of ``chosen`` stay.
 
     Of rows that share a chosen id, the one with the smallest text is drawn.
     """
     texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    one = texts.join(F.broadcast(chosen), "i").groupBy("i", "y").agg(F.min("t").alias("t"))
-    return C.materialize(one.select("y", "t"), name)
+    one = texts.join(F.broadcast(chosen), "i").groupBy(*chosen.columns).agg(F.min("t").alias("t"))
+    return C.materialize(one.drop("i"), name)

@@ -8,11 +8,15 @@ on word and word-prefix indicators minimises the non-negative PU risk
 
 by full-batch gradient steps in numpy; where the second term is negative, the
 step lifts it instead, which keeps the model from fitting the toxic sample by
-heart.  The class prior is the share of toxic rows among the labelled ones.
-
-Bounds: ``POSITIVES`` and ``UNLABELLED`` documents and ``FEATURES`` features,
-drawn in the order of a hash of the id.  Scoring reads every whole text.
-An id labelled more than once is toxic if one of its labels says so.  Without
+heart.  The risk is over distinct texts: copies of one text count once, and the
+class prior is the share of toxic texts among the labelled ones, so no weights
+are needed.  Features are counted over the drawn texts, and over their copies as
+far as distinct texts leave room.
+
+Bounds: ``POSITIVES`` and ``UNLABELLED`` distinct texts and ``FEATURES``
+features, drawn in the order of a hash of the text.  Scoring reads every whole
+text.  An id labelled more than once, or a text of several ids, is toxic if one
+of its labels says so.  Without
 a toxic example every score is 0; an empty or null text has no indicator and
 gets the model's bias.
 """
@@ -58,24 +62,36 @@ def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
     return w[:-1], float(w[-1])
 
 
+def _spread(texts: DataFrame, y: int, most: int) -> DataFrame:
+    """(i, y, copies) of at most ``most`` rows of ``texts`` (key, n): every text once before any a second time."""
+    order = [F.xxhash64("key", F.lit(y)), F.col("key")]
+    some = texts.select("key", "n").orderBy(*order).limit(most)
+    each = some.select("key", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(most)).cast("int"))).alias("c"))
+    return (each.orderBy("c", *order).limit(most).groupBy(F.col("key").alias("i"))
+            .agg(F.lit(y).alias("y"), F.count(F.lit(1)).cast("int").alias("copies")))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", modulus: int = 5, held_out: int = 0) -> X.Linear:
     """Model learned from ids whose fold is not ``held_out``."""
     known = (labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).dropna()
              .where(C.fold("i", modulus) != held_out).groupBy("i").agg(F.max("y").alias("y")))
-    prior, n = known.agg(F.avg((F.col("y") == 1).cast("double")), F.count(F.lit(1))).first()
-    if not n or not prior:
+    body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = (docs.select(F.col(id_col).alias("i"), F.unhex(F.md5(body)).alias("key")).dropna()
+            .where(C.fold("i", modulus) != held_out))
+    # one row a text, whatever the number of its copies
+    texts = C.materialize(rows.join(known, "i", "left").groupBy("key")
+                          .agg(F.max("y").alias("y"), F.count(F.lit(1)).alias("n")), "toxicity_texts")
+    prior = texts.where("y is not null").agg(F.avg((F.col("y") == 1).cast("double"))).first()[0]
+    if not prior:
         return X.constant(0.0)
-    ids = docs.select(F.col(id_col).alias("i")).dropna().where(C.fold("i", modulus) != held_out)
-    by_hash = [F.xxhash64("i"), F.col("i")]
-    toxic = (known.where("y = 1").join(ids, "i", "left_semi").orderBy(*by_hash).limit(POSITIVES)
-             .select("i", F.lit(1).alias("y")))
-    some = ids.distinct().orderBy(F.xxhash64("i", F.lit(1)), "i").limit(UNLABELLED).select("i", F.lit(0).alias("y"))
-    sample = X.draw(docs, toxic.unionByName(some), id_col, text_col, "toxicity_sample")
-    sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = _spread(texts.where("y = 1"), 1, POSITIVES).unionByName(_spread(texts, 0, UNLABELLED))
+    sample = X.draw(docs.select(F.unhex(F.md5(body)).alias("key"), body.alias("t")), chosen, "key", "t", "toxicity_sample")
+    sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.sum("copies").alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
         return X.constant(0.0)
-    counts = X.feature_counts(sample, X.word_prefixes, least=5)
+    repeated = sample.select("y", "t", F.explode(F.sequence(F.lit(1), "copies")))
+    counts = X.feature_counts(repeated, X.word_prefixes, least=5)
     selected = X.select(counts, sizes[1], sizes[0], FEATURES)["f"]
     rows = X.indicators(sample, X.word_prefixes, selected).collect()
     matrix = np.zeros((len(rows), len(selected)), np.float32)

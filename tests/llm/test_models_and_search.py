@@ -145,6 +145,19 @@ def test_a_repeated_id_is_drawn_once(spark):
     assert got == [(0, ""), (0, "text 0"), (1, "c"), (1, "text 0")]
 
 
+def test_rare_toxic_wording_beside_a_hot_copy(spark):
+    """Copies of one toxic text hold most toxic rows, more than are drawn; the other toxic texts are learned all the same."""
+    rare = spark.range(1000).selectExpr("id AS doc_id", "concat('talk of ', substr(md5(cast(id % 40 as string)), 1, 8), ' item', id) AS text", "1 AS toxic")
+    hot = spark.range(40_000).selectExpr("id + 1000 AS doc_id", "'nasty copied words' AS text", "1 AS toxic")
+    good = spark.range(20_000).selectExpr("id + 900000 AS doc_id", "concat('talk of nice', chr(97 + id % 20), ' item', id) AS text", "0 AS toxic")
+    both = rare.union(hot).union(good).repartition(4)
+    docs, labels = both.select("doc_id", "text"), both.select("doc_id", "toxic")
+    score = {r.doc_id: r.score for r in W.score(docs.where("doc_id < 1001 or doc_id >= 900000"),
+                                                pu_toxicity.fit(docs, labels), W.word_prefixes).collect()}
+    assert sum(score[i] >= 0.5 for i in range(1001)) >= 950
+    assert sum(score[900000 + i] < 0.5 for i in range(20_000)) >= 19_000
+
+
 def test_nn_pu_separates_with_toxic_rows_in_the_unlabelled_side():
     r = np.random.default_rng(1)
     positive = np.column_stack([np.ones(200), r.integers(0, 2, (200, 20))]).astype(np.float32)
