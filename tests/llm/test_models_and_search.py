@@ -244,3 +244,25 @@ def test_pipeline_stages_against_plain_versions(spark):
         assert (r.text == start[r.doc_id]) == (not listed)
         assert not base_spans(r.text)[0]
     assert {r.doc_id for r in P.packing(spark, safe, SF).select("doc_id").distinct().collect()} == stay
+
+
+def test_near_stage_on_a_hot_group_against_all_pairs(spark):
+    """Near copies share shingles with 200 documents and more; the plain version leaves none of them out."""
+    import corpus_pipeline as P
+
+    r = random.Random(8)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    hot = [r.choice(vocab) for _ in range(120)]
+    texts = []
+    for _ in range(300):
+        w = list(hot)
+        for _ in range(r.randint(1, 4)):
+            w[r.randrange(len(w))] = r.choice(vocab)
+        texts.append(" ".join(w))
+    texts += [" ".join(r.choice(vocab) for _ in range(60)) for _ in range(40)]
+    docs = cases.frame(spark, texts)
+    shared = Counter(x for t in texts for x in cases.shingles(t, 5))
+    assert max(shared.values()) >= 200
+    classes = cases.jaccard_classes(dict(enumerate(texts)), 5, 80)
+    assert 41 < len(set(classes.values())) < 340
+    assert {x.doc_id for x in P.near(spark, docs, SF).collect()} == set(classes.values())
