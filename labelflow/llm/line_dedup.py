@@ -170,6 +170,11 @@ def _bitmap(n_lines, groups):
     return zlib.compress(np.packbits(keep).tobytes(), 6)
 
 
+def gathered(dropped: DataFrame) -> DataFrame:
+    """(id, text_key, n_lines, pos): a document's dropped positions; equal ones of repeated rows are one, before the shuffle."""
+    return dropped.groupBy("id", "text_key").agg(F.max("n_lines").alias("n_lines"), F.collect_set("pos").alias("pos"))
+
+
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, text_key, n_lines, bitmap) of every document that loses a line."""
     @F.pandas_udf("binary")
@@ -177,9 +182,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         import pandas as pd
         return pd.Series([_bitmap(n, g) for n, g in zip(n_lines, groups)])
 
-    dropped = dropped_lines(docs, id_col, text_col, **options)
-    return (dropped.groupBy("id", "text_key")
-            .agg(F.max("n_lines").alias("n_lines"), F.collect_list("pos").alias("pos"))
+    return (gathered(dropped_lines(docs, id_col, text_col, **options))
             .select("id", "text_key", "n_lines", pack("n_lines", "pos").alias("bitmap")))
 
 

@@ -297,3 +297,11 @@ def test_empty_tables(spark):
     assert L.with_bitmaps(docs).count() == 0
     assert E.exact_dedup(docs).count() == 0 and E.drop_copies(docs).count() == 0
     assert J.classes(docs, 3, 90).count() == 0 and J.keep_one(docs).count() == 0
+
+
+def test_positions_of_repeated_rows_are_gathered_once(spark):
+    from labelflow.llm import line_dedup
+
+    docs = spark.range(300).selectExpr("5L AS doc_id", "'a\\nb\\na\\nc' AS text").repartition(4)
+    got = line_dedup.gathered(line_dedup.dropped_lines(docs, min_docs=10)).collect()
+    assert [(r.id, sorted(map(tuple, r.pos))) for r in got] == [(5, [(0, 2), (1,), (3,)])]
