@@ -43,6 +43,17 @@ def integer_vectors(table: DataFrame, id_col: str, vector_col: str, scale: int)
             .select("id", F.transform("x", lambda e: F.floor(e * F.lit(float(scale))).cast("long")).alias("v")))
 
 
+def numbered_vectors(table: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
+    """(id, v, row) written once, so a row keeps its number."""
+    rows = integer_vectors(table, id_col, vector_col, scale).withColumn("id", F.col("id").cast("long"))
+    return C.materialize(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
+
+
+def dealt(count: int):
+    """One of ``count`` parts; the row number deals repeated rows apart."""
+    return F.pmod(F.xxhash64("id", "row"), F.lit(count)).cast("int")
+
+
 def threshold_top_k(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray,
                     k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, vector row, score) of the k best rows of one block for each query."""
@@ -106,14 +117,11 @@ def top_k(table: DataFrame, queries, k: int = 5, scale: int = 256, id_col: str =
 
     ``queries`` is a column over ``id``; ids are long integers.
     """
-    base = C.materialize(integer_vectors(table, id_col, vector_col, scale).withColumn("id", F.col("id").cast("long")),
-                         "vectors").withColumn("dim", F.size("v"))
+    base = numbered_vectors(table, id_col, vector_col, scale).withColumn("dim", F.size("v"))
     asked = base.where(queries)
     n, m = base.count(), asked.count()
     blocks, chunks = max(1, math.ceil(n / block_rows)), max(1, math.ceil(m / query_rows))
-    # repeated ids are dealt apart by nothing else than their values: the block bound is on average
-    block = F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")
-    chunk = F.pmod(F.xxhash64("id", "v"), F.lit(chunks)).cast("int")
+    block, chunk = dealt(blocks), dealt(chunks)
 
     def every(count):
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))

@@ -197,6 +197,13 @@ def test_top_k_equals_brute_force(spark, block, chunk):
     assert fagin.top_k(df.limit(0), F.col("id") % 10 == 0).count() == 0
 
 
+def test_repeated_rows_are_dealt_apart(spark):
+    df = spark.range(4000).selectExpr("7L AS vec_id", "array(1.0D, 2.0D) AS embedding")
+    base = fagin.numbered_vectors(df, "vec_id", "embedding", 256)
+    sizes = [r["count"] for r in base.groupBy(fagin.dealt(16)).count().collect()]
+    assert len(sizes) == 16 and sum(sizes) == 4000 and max(sizes) < 500
+
+
 def test_walk_stops_before_the_end_of_the_lists():
     """A few strong rows end the walk early and are still the right ones."""
     r = np.random.default_rng(3)
