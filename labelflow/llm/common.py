@@ -118,13 +118,15 @@ def powers(n: int) -> np.ndarray:
         return np.multiply.accumulate(p)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of every maximal run of non-separator bytes."""
+def words(data: np.ndarray, offsets: np.ndarray,
+          sep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of every maximal run of non-separator bytes; ``sep`` marks them, white space if not given."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    sep = SEPARATOR[data]
+    if sep is None:
+        sep = SEPARATOR[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = edge[:-1].copy()
@@ -153,3 +155,31 @@ def gather_spans(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Positions starts[i] .. starts[i]+lengths[i]-1 for every i, one after another."""
     first = np.cumsum(lengths) - lengths
     return np.arange(int(lengths.sum())) + np.repeat(starts - first, lengths)
+
+
+def parts(data: np.ndarray, offsets: np.ndarray, edge: np.ndarray,
+          max_bytes: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A slice as it is, or a single long text in parts that begin at a byte marked in ``edge``."""
+    n = len(data)
+    if len(offsets) > 2 or n <= 2 * max_bytes:
+        yield data, offsets
+        return
+    lo = 0
+    while lo < n:
+        hi = min(n, lo + max_bytes)
+        while hi < n:
+            cut = np.flatnonzero(edge[data[hi:hi + 65_536]])
+            if len(cut):
+                hi += int(cut[0])
+                break
+            hi = min(n, hi + 65_536)
+        yield data[lo:hi], np.array([0, hi - lo])
+        lo = hi
+
+
+def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, kind=pa.binary()) -> pa.Array:
+    """The bytes of every span as an Arrow array."""
+    size = end - start
+    off = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    body = np.ascontiguousarray(data[gather_spans(size, start)]) if len(start) else np.zeros(0, np.uint8)
+    return pa.Array.from_buffers(kind, len(start), [None, pa.py_buffer(off), pa.py_buffer(body)])
