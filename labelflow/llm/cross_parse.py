@@ -202,10 +202,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     schema = T.StructType([T.StructField(id_col, rows.schema["id"].dataType), T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # plain data: workers may not have this package
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.classes, model.n_classes, model.tables,
+                                                     model.weight))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = Model(*sent.value)
         names = np.array([*m.languages, "und"], object)
         for b in batches:
             for lo, hi, data, off in C.text_slices(b.column(1)):

@@ -173,10 +173,12 @@ def score(docs: DataFrame, model: Linear, extract: Extract, text_col: str = "tex
         else docs.select(*kept)
     at = list(columns).index(text_col) if text_col in columns else len(columns)
     schema = T.StructType([*rows.schema.fields[:len(columns)], T.StructField(name, T.DoubleType())])
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # plain data: workers may not have this package
+    sent = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.bias, model.slope,
+                                                     model.shift, model.fixed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = Linear(*sent.value)
         look = Lookup(m.features)
         for b in batches:
             for lo, hi, data, off in C.text_slices(b.column(at)):

@@ -42,7 +42,6 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -131,7 +130,6 @@ def may_be_similar(na, a: np.ndarray, nb, b: np.ndarray, percent: int) -> np.nda
 
 # ---------------------------------------------------------------- signatures
 
-@lru_cache(maxsize=8)
 def _bands(percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(largest size, k) of the size bands; a band spans about percent**-3."""
     upper = [1]

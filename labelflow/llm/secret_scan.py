@@ -268,13 +268,19 @@ def find_spans(a: Automaton, rules, matchers, data: np.ndarray, offsets: np.ndar
     return {r: sorted(s) for r, s in found.items()}
 
 
+def _sent(docs: DataFrame, rules):
+    """The automaton as plain data: workers may not have this package."""
+    a = compile_rules([r.scan for r in rules])
+    return docs.sparkSession.sparkContext.broadcast((a.classes, a.step, a.accept, a.n_classes, a.sync))
+
+
 def _scan(docs: DataFrame, id_col: str, text_col: str, rules, schema_of, make) -> DataFrame:
     """mapInArrow over (id, text): ``make(batch part, texts, spans)`` builds the output."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    automaton = docs.sparkSession.sparkContext.broadcast(compile_rules([r.scan for r in rules]))
+    automaton = _sent(docs, rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, matchers = automaton.value, [re.compile(r.base) for r in rules]
+        a, matchers = Automaton(*automaton.value), [re.compile(r.base) for r in rules]
         for b in batches:
             for lo, hi, data, off in C.text_slices(b.column(1)):
                 yield make(b.column(0).slice(lo, hi - lo), find_spans(a, rules, matchers, data, off), hi - lo)
@@ -322,12 +328,12 @@ def redact(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     """``docs`` with every found span replaced by its kind in brackets; all columns
     stay, and ``n_chars``, if there is one, counts the new text.  Overlapping spans
     are replaced as one, under the kind that starts first."""
-    automaton = docs.sparkSession.sparkContext.broadcast(compile_rules([r.scan for r in rules]))
+    automaton = _sent(docs, rules)
     at = docs.columns.index(text_col)
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, matchers = automaton.value, [re.compile(r.base) for r in rules]
+        a, matchers = Automaton(*automaton.value), [re.compile(r.base) for r in rules]
         for b in batches:
             for lo, hi, data, off in C.text_slices(b.column(at)):
                 part = b.slice(lo, hi - lo)
