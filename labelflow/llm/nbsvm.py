@@ -17,7 +17,7 @@ text has no indicator and gets the bias.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelflow.llm import common as C
@@ -79,9 +79,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if share is None or share in (0.0, 1.0):
         return X.constant(0.5 if share is None else share)
     ids = docs.select(F.col(id_col).alias("i")).dropna()
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i"))
-    chosen = (known.join(ids, "i", "left_semi").withColumn("n", rank).where(F.col("n") <= PER_CLASS)
-              .select("i", "y"))
+    # an ordered limit per class: each task hands on at most PER_CLASS rows of a class
+    labelled = known.join(ids, "i", "left_semi").select("i", "y")
+    first, second = (labelled.where(F.col("y") == c).orderBy(F.xxhash64("i"), "i").limit(PER_CLASS) for c in (0, 1))
+    chosen = first.unionByName(second)
     sample = X.draw(docs, chosen, id_col, text_col, "quality_sample")
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
