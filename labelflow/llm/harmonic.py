@@ -7,14 +7,16 @@ pieces and a tail, and the tail into class lengths capacity // k, the largest
 that fits first.  Every piece of a class then has the class's length, and a
 filled sequence wastes less than k tokens.
 
-Classes are filled independently: pieces are dealt to buckets by a hash, a
-window numbers them within (bucket, class), and a small table of counts gives
+Classes are filled independently: pieces are dealt to buckets by a row number
+written with them, so equal pieces part too, a window numbers them within (bucket, class), and a small table of counts gives
 each bucket its first number.  Number n of class k is slot n mod k of sequence
 n div k.  What is left over is fewer than k pieces per class, a constant
 number whatever the input; those are packed first-fit by falling length.
 
 A document is its ids and then the end id.  A null or empty text is the end id
-alone.  Null and repeated document ids are allowed; each row is packed.
+alone; an empty table gives no piece.  Null and repeated document ids are
+allowed; each row is packed.  A very long text is encoded as one slice and
+becomes as many pieces as it needs.
 """
 
 from __future__ import annotations
@@ -97,10 +99,10 @@ def _first_fit(capacity: int):
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Give every piece (lengths capacity // k) a sequence and an offset in it."""
     spark = cut.sparkSession
-    base = C.materialize(cut, "pieces")
+    base = C.materialize(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     buckets = max(C.partitions(spark), math.ceil(base.count() / ROWS_PER_BUCKET))
     keyed = (base.withColumn("k", F.floor(F.lit(capacity) / F.col("length")).cast("int"))
-             .withColumn("bucket", F.pmod(F.xxhash64(*PIECE), F.lit(buckets)).cast("int")))
+             .withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int")))
     by_class = Window.partitionBy("k")
     counts = (keyed.groupBy("bucket", "k").agg(F.count(F.lit(1)).alias("n"))
               .withColumn("before", F.sum("n").over(by_class.orderBy("bucket")) - F.col("n"))
@@ -114,7 +116,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     full = placed.where("not spare").select(
         *PIECE, (F.floor(number / k) * (2 * capacity) + k).cast("long").alias("sequence_id"),
         ((number % k) * F.col("length")).cast("long").alias("offset"))
-    schema = T.StructType([*base.schema.fields, T.StructField("sequence_id", T.LongType()),
+    schema = T.StructType([*(base.schema[c] for c in PIECE), T.StructField("sequence_id", T.LongType()),
                            T.StructField("offset", T.LongType())])
     # fewer than k pieces of each class: at most a few thousand rows in all
     spare = placed.where("spare").select(*PIECE).groupBy(F.lit("spare").alias("all")).applyInArrow(_first_fit(capacity), schema)
