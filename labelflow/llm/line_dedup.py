@@ -17,7 +17,8 @@ Policies: ``frequent`` drops every line whose key occurs in at least
 (document, position) order.  A null or empty text is one empty line; keys
 shorter than ``min_chars`` are never dropped.  Every row counts as a document,
 also a repeated one.  Documents are told apart by id and a hash of the text,
-so null or repeated ids are no problem.
+so null or repeated ids are no problem.  A very long text is split whole in one
+slice; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -230,13 +231,13 @@ def q_op6(spark, sf_dir):
 QUERIES = {"op6_line_dedup": q_op6}
 ORACLE_SQL = {"op6_line_dedup": r"""
 with l as (
-  select doc_id, pos, line,
+  select row, doc_id, pos, line,
          translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
-  from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+  from (select row, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
                generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
-        from documents)),
-f as (select k from l where length(k) >= 1 group by k having count(distinct doc_id) >= 10)
-select l.doc_id, count(*) as n_lines, count(f.k) as n_dropped,
+        from (select row_number() over () as row, doc_id, text from documents))),
+f as (select k from l where length(k) >= 1 group by k having count(distinct row) >= 10)
+select any_value(l.doc_id) as doc_id, count(*) as n_lines, count(f.k) as n_dropped,
        sha256(coalesce(string_agg(case when f.k is null then line end, chr(10) order by pos), '')) as kept_sha256
-from l left join f on l.k = f.k group by l.doc_id"""}
+from l left join f on l.k = f.k group by l.row"""}
