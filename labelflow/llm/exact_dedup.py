@@ -11,7 +11,10 @@
    ordinary shuffle and a window.
 
 Null ids sort below all ids.  Rows repeated with one id and text form one
-group, of which a single row stays.  An empty table gives an empty result.
+group, of which a single row stays, whichever way their other columns differ.
+A text of any length is one digest.  An empty table gives an empty result.
+Digests are taken in Python over Arrow buffers: lower-casing A-Z alone with
+``translate`` and ``sha2`` took twice the time (0.7 s against 0.36 s on 0.1 GB).
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelflow.llm import common as C
+from labelflow.operators.joins import bounded_broadcast
 
 COUNTERS = 1024
 
@@ -100,22 +104,31 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 counters: int = COUNTERS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Dropped (id, digest) keys leave by an anti join; a key that is repeated
-    within the staying row's id is first combined map-side to one row.
+    Keys (id, digest) that do not stay as a single row leave by one anti join,
+    which is the only shuffle of texts, and none if the keys are few.  Of rows
+    repeated with the staying id and text the one with the least digest of all
+    its columns comes back; texts are read again only where there are such rows.
     """
     groups = C.materialize(dedup_groups(digest_table(docs, id_col, text_col), counters), "copies")
-    keys = (groups.groupBy("id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("m"))
-            .where("not kept or m > 1").select("id", F.col("digest").alias("d"), "kept"))
-    digest = _digest_udf()(F.col(text_col).cast("string"))
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"),
-                      F.col(id_col).alias("i"), digest.alias("g"))
+    keys = C.materialize(
+        groups.groupBy("id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("m"))
+        .where("not kept or m > 1").select("id", F.col("digest").alias("d"), "kept"), "leaving")
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("i"),
+                      _digest_udf()(F.col(text_col).cast("string")).alias("g"))
     hit = F.col("i").eqNullSafe(F.col("id")) & (F.col("g") == F.col("d"))
-    joined = row.join(keys.hint("shuffle_hash"), hit, "left")
-    single = joined.where("d is null").select("row.*")
-    # rows repeated with the id and text of the one that stays: any one of them
-    again = (joined.where("d is not null and kept").groupBy("i", "g")
-             .agg(F.first("row").alias("row")).select("row.*"))
-    return single.unionByName(again)
+    single = row.join(_small_or_hashed(keys), hit, "left_anti").select("row.*")
+    again = keys.where("kept")
+    if again.isEmpty():
+        return single
+    repeated = row.join(_small_or_hashed(again), hit, "left_semi")
+    least = F.min_by("row", F.md5(F.to_json("row", {"ignoreNullFields": "false"})))
+    return single.unionByName(repeated.groupBy("i", "g").agg(least.alias("row")).select("row.*"))
+
+
+def _small_or_hashed(keys: DataFrame) -> DataFrame:
+    """A broadcast within the size check, else the hashed side of a shuffle join."""
+    small = bounded_broadcast(keys)
+    return keys.hint("shuffle_hash") if small is keys else small
 
 
 def _digest_udf():
