@@ -169,17 +169,24 @@ def test_nn_pu_separates_with_toxic_rows_in_the_unlabelled_side():
 # ---------------------------------------------------------------- top-k
 
 def brute_top_k(rows, k, step, scale=256):
-    vectors = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            vectors.setdefault(i, []).append([math.floor(scale * x) for x in v])
-    out = {}
-    for q, own in vectors.items():
+    """Answers of every query row, as (query id, [(id, score), ...])."""
+    vectors = [(i, [math.floor(scale * x) for x in v]) for i, v in rows
+               if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for n, (q, own) in enumerate(vectors):
         if q % step == 0:
-            found = [(-sum(a * b for a, b in zip(own[0], v)), i) for i, vs in vectors.items() if i != q
-                     for v in vs if len(v) == len(own[0])]
-            out[q] = [(i, -s) for s, i in sorted(found)[:k]]
-    return {q: v for q, v in out.items() if v}
+            found = [(-sum(a * b for a, b in zip(own, v)), i) for m, (i, v) in enumerate(vectors)
+                     if m != n and len(v) == len(own)]
+            out.append((q, [(i, -s) for s, i in sorted(found)[:k]]))
+    return sorted(x for x in out if x[1])
+
+
+def answers(df):
+    """Rows of one query id, split into answers by their ranks."""
+    by_id = {}
+    for x in df.collect():
+        by_id.setdefault(x.query_id, {}).setdefault(x["rank"], []).append((x.vec_id, x.score))
+    return by_id
 
 
 @pytest.mark.parametrize("block, chunk", [(4096, 1024), (16, 3)])
@@ -189,14 +196,25 @@ def test_top_k_equals_brute_force(spark, block, chunk):
     rows += [(150 + i, [0.5] * 6) for i in range(20)] + [(200, None), (201, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (None, [1.0] * 6),
              (202, [math.nan] * 6), (203, [math.inf] + [0.0] * 5), (204, [1.0, 2.0]), (205, []), (210, [1.0, 3.0]), (220, [0.0] * 6)]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, score string, rank int")
-    got = {}
-    for x in fagin.top_k(df, F.col("id") % 10 == 0, block_rows=block, query_rows=chunk).orderBy("query_id", "rank").collect():
-        got.setdefault(x.query_id, []).append((x.vec_id, x.score))
-        assert x.rank == len(got[x.query_id])
-    assert got == brute_top_k(rows, 5, 10)
+    got = answers(fagin.top_k(df, F.col("id") % 10 == 0, block_rows=block, query_rows=chunk))
+    assert sorted((q, [x[0] for _, x in sorted(ranks.items())]) for q, ranks in got.items()) == brute_top_k(rows, 5, 10)
     assert fagin.top_k(df.limit(0), F.col("id") % 10 == 0).count() == 0
 
 
+@pytest.mark.parametrize("block", [4096, 7])
+def test_top_k_of_repeated_queries_and_candidates(spark, block):
+    rows = [(10, [1.0, 0.0]), (10, [0.0, 1.0]), (10, [1.0, 0.0]), (20, [-1.0, 0.0]), (20, [-1.0, 0.0])]
+    rows += [(i, [i / 40, 1 - i / 40]) for i in range(21, 60) if i % 10] + [(33, [0.5, 0.5])] * 9
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = answers(fagin.top_k(df, F.col("id") % 10 == 0, block_rows=block, query_rows=2))
+    want = {}
+    for q, best in brute_top_k(rows, 5, 10):
+        for rank, x in enumerate(best, 1):
+            want.setdefault(q, {}).setdefault(rank, []).append(x)
+    assert {q: {r: sorted(x) for r, x in ranks.items()} for q, ranks in got.items()} == {
+        q: {r: sorted(x) for r, x in ranks.items()} for q, ranks in want.items()}
+
+
 def test_repeated_rows_are_dealt_apart(spark):
     df = spark.range(4000).selectExpr("7L AS vec_id", "array(1.0D, 2.0D) AS embedding")
     base = fagin.numbered_vectors(df, "vec_id", "embedding", 256)
@@ -209,7 +227,7 @@ def test_walk_stops_before_the_end_of_the_lists():
     r = np.random.default_rng(3)
     v = r.integers(-3, 4, (4000, 4))
     v[:10] = 100
-    q, at, s = fagin.threshold_top_k(v, np.arange(4000), np.full((1, 4), 5), np.array([-1]), 5)
+    q, at, s = fagin.threshold_top_k(v, np.arange(4000), np.full((1, 4), 5), 5)
     assert at.tolist() == [0, 1, 2, 3, 4] and s.tolist() == [2000] * 5
 
 
