@@ -26,7 +26,34 @@ def _part_labels(spark, sf):
     return read_table(spark, sf, "part", "p_name").select(F.col("p_name").alias("label")).distinct()
 
 
-@register("closest_label")
+# The stdlib ratio in SQL: the longest common substring (first in the label, then in
+# the word) splits a pair into what lies left and right of it, again and again.
+# Words of 200 and more characters, where the stdlib ignores popular ones, are not
+# covered; part names are shorter.
+_SUBS = ("list_distinct(flatten(list_transform(range(1, length({x}) + 1), lambda i: "
+         "list_transform(range(1, length({x}) - i + 2), lambda k: substr({x}, i, k)))))")
+_BLOCK = ("list_max(list_transform(list_intersect(" + _SUBS.format(x="a") + ", " + _SUBS.format(x="b") + "), "
+          "lambda s: {'k': length(s), 'i': -instr(a, s), 's': s})).s")
+CLOSEST_SQL = f"""WITH RECURSIVE {MUTATE_SQL},
+lab AS (SELECT DISTINCT lower(p_name) AS label FROM part),
+miss AS (SELECT DISTINCT lower(prediction) AS p FROM mp WHERE lower(prediction) NOT IN (SELECT label FROM lab)),
+node AS (
+  SELECT p, label, a, b, {_BLOCK} AS s FROM (SELECT p, label, label AS a, p AS b FROM miss, lab)
+  UNION ALL
+  SELECT p, label, a, b, {_BLOCK} AS s
+  FROM (SELECT p, label, unnest([left(a, instr(a, s) - 1), substr(a, instr(a, s) + length(s))]) AS a,
+               unnest([left(b, instr(b, s) - 1), substr(b, instr(b, s) + length(s))]) AS b
+        FROM node WHERE s IS NOT NULL)
+  WHERE a <> '' AND b <> ''),
+r AS (SELECT p, label, 2.0 * coalesce(sum(length(s)), 0) / (length(p) + length(label)) AS ratio
+      FROM node GROUP BY p, label),
+best AS (SELECT p, label FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY ratio DESC, label DESC) AS n FROM r)
+         WHERE n = 1)
+SELECT mp.p_partkey, mp.prediction, coalesce(best.label, lower(mp.prediction)) AS label
+FROM mp LEFT JOIN best ON best.p = lower(mp.prediction)"""
+
+
+@register("closest_label", CLOSEST_SQL)
 def q_closest_label(spark, sf):
     m = mutated_parts(spark, sf)
     out = MT.closest_label(m, "prediction", _part_labels(spark, sf), "label", out_col="label")
