@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from labelflow.operators.bleu import RULES, corpus_bleu
-from labelflow.operators.tokens import token_profile
+from labelflow.operators.runs import RANGE, lagged, ranged
+from labelflow.operators.tokens import TARGET_LIMIT, token_profile, truncate_tokens
 from labelflow.plans.registry import register
 from labelflow.sources.tables import read_table
 
@@ -25,8 +25,8 @@ BLEU_SQL = f"""WITH c AS (SELECT conv_id, turn, role, text,
                   lag(role) OVER w AS prev_role, lag(text) OVER w AS prev_text
            FROM conversations
            WINDOW w AS (PARTITION BY conv_id ORDER BY turn,
-                        CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END)),
-pairs AS (SELECT conv_id * 100 + turn AS rid, text AS hyp, prev_text AS ref FROM c
+                        CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, md5(coalesce(text, '')))),
+pairs AS (SELECT concat_ws('-', coalesce(CAST(conv_id AS VARCHAR), 'x'), turn, role) AS rid, text AS hyp, prev_text AS ref FROM c
           WHERE role = 'assistant' AND prev_role = 'user'),
 tok AS (SELECT rid, {_tok_sql('hyp')} AS ht, {_tok_sql('ref')} AS rt FROM pairs),
 ords AS (SELECT * FROM range(1, 5) o(n)),
@@ -74,28 +74,57 @@ def _role_order():
 def assistant_vs_user(conversations):
     """(rid, hyp, ref): each assistant turn against the user turn right
     before it in the same conversation (a system prompt and the first user
-    message may share turn 0: the system row comes first)."""
-    w = Window.partitionBy("conv_id").orderBy("turn", _role_order())
-    c = conversations.select("conv_id", "turn", "role", "text",
-                             F.lag("role").over(w).alias("prev_role"),
-                             F.lag("text").over(w).alias("prev_text"))
-    return c.filter((F.col("role") == "assistant") & (F.col("prev_role") == "user")).select(
-        "conv_id", F.concat_ws("-", "conv_id", "turn", "role").alias("rid"),
+    message may share turn 0: the system row comes first; rows of one turn and
+    role go by their text's digest).
+
+    Turns are dealt to tasks by ranges of (conversation, turn), so a
+    conversation of any length spreads over many; ``_range`` stays, the pairs
+    are partitioned by it."""
+    c = conversations.select("conv_id", "turn", "role", "text", _role_order().alias("_ord"),
+                             F.md5(F.coalesce("text", F.lit(""))).alias("_digest"))
+    order = ["turn", "_ord", "_digest"]
+    turns = ranged(c, [F.col(x) for x in ("conv_id", *order)], "turns")
+    paired = lagged(turns, order, "conv_id", ["role", "text"])
+    return paired.filter((F.col("role") == "assistant") & (F.col("prev_role") == "user")).select(
+        RANGE, F.concat_ws("-", F.coalesce(F.col("conv_id").cast("string"), F.lit("x")), "turn", "role").alias("rid"),
         F.col("text").alias("hyp"), F.col("prev_text").alias("ref"))
 
 
 @register("corpus_bleu", BLEU_SQL)
 def q_corpus_bleu(spark, sf):
     conv = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
-    # the pairs come out of a window partitioned by conv_id: count there
-    return corpus_bleu(assistant_vs_user(conv), "hyp", "ref", "rid", clustered_by=("conv_id",))
+    # the pairs come out of a window partitioned by range: count there
+    return corpus_bleu(assistant_vs_user(conv), "hyp", "ref", "rid", clustered_by=(RANGE,))
+
+
+TOKENS_SQL = "len(regexp_extract_all({x}, '\\S+'))::BIGINT"
+
+
+def _quantile_sql(p: float) -> str:
+    return f"quantile_disc(i, {p})::BIGINT AS p{round(100 * p)}"
 
 
-@register("token_profile", """SELECT source AS dataset_name, count(*) AS n,
-  max(len(regexp_extract_all(text, '\\S+')))::BIGINT AS max_tokens,
-  count(*) FILTER (WHERE len(regexp_extract_all(text, '\\S+')) > 320) AS n_over_320,
-  count(*) FILTER (WHERE len(regexp_extract_all(text, '\\S+')) > 512) AS n_over_512
-FROM documents GROUP BY source""")
+@register("token_profile", f"""SELECT source AS dataset_name, count(*) AS n,
+  max(i) AS max_tokens, {', '.join(_quantile_sql(p) for p in (0.5, 0.95, 0.99))},
+  count(*) FILTER (WHERE i > 320) AS n_over_320, count(*) FILTER (WHERE i > 512) AS n_over_512
+FROM (SELECT source, {TOKENS_SQL.format(x="coalesce(text, '')")} AS i FROM documents) t GROUP BY source""")
 def q_token_profile(spark, sf):
     d = read_table(spark, sf, "documents", "source", "text").withColumnRenamed("source", "dataset_name")
     return token_profile(d, "text", by=("dataset_name",))
+
+
+@register("token_profile_targets", f"""SELECT role AS task, count(*) AS n, max(i) AS max_tokens,
+  {', '.join(_quantile_sql(p) for p in (0.5, 0.95, 0.99))},
+  count(*) FILTER (WHERE i > 40) AS n_over_40, sum(least(i, 40))::BIGINT AS kept_tokens,
+  sum(i)::BIGINT AS all_tokens
+FROM (SELECT role, {TOKENS_SQL.format(x="coalesce(text, '')")} AS i FROM conversations) t GROUP BY role""")
+def q_token_profile_targets(spark, sf):
+    c = read_table(spark, sf, "conversations", "role", "text").withColumnRenamed("role", "task")
+    return token_profile(c, "text", by=("task",), limits=(TARGET_LIMIT,), cut_at=TARGET_LIMIT)
+
+
+@register("truncate_tokens", """SELECT conv_id, turn, role,
+  array_to_string(list_slice(regexp_extract_all(text, '\\S+'), 1, 40), ' ') AS target FROM conversations""")
+def q_truncate_tokens(spark, sf):
+    c = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
+    return c.select("conv_id", "turn", "role", truncate_tokens("text", TARGET_LIMIT).alias("target"))
