@@ -110,27 +110,21 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     its columns comes back; texts are read again only where there are such rows.
     """
     groups = C.materialize(dedup_groups(digest_table(docs, id_col, text_col), counters), "copies")
-    keys = C.materialize(
+    keys = bounded_broadcast(
         groups.groupBy("id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("m"))
-        .where("not kept or m > 1").select("id", F.col("digest").alias("d"), "kept"), "leaving")
+        .where("not kept or m > 1").select("id", F.col("digest").alias("d"), "kept"), beyond="shuffle_hash")
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("i"),
                       _digest_udf()(F.col(text_col).cast("string")).alias("g"))
     hit = F.col("i").eqNullSafe(F.col("id")) & (F.col("g") == F.col("d"))
-    single = row.join(_small_or_hashed(keys), hit, "left_anti").select("row.*")
+    single = row.join(keys, hit, "left_anti").select("row.*")
     again = keys.where("kept")
     if again.isEmpty():
         return single
-    repeated = row.join(_small_or_hashed(again), hit, "left_semi")
+    repeated = row.join(again, hit, "left_semi")
     least = F.min_by("row", F.md5(F.to_json("row", {"ignoreNullFields": "false"})))
     return single.unionByName(repeated.groupBy("i", "g").agg(least.alias("row")).select("row.*"))
 
 
-def _small_or_hashed(keys: DataFrame) -> DataFrame:
-    """A broadcast within the size check, else the hashed side of a shuffle join."""
-    small = bounded_broadcast(keys)
-    return keys.hint("shuffle_hash") if small is keys else small
-
-
 def _digest_udf():
     @F.pandas_udf("binary")
     def digest(s):
