@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from labelflow.session import scratch_path
+
 # Dimension rows shipped to every task at most; beyond this the join is a
 # regular shuffle join (AQE may still pick a broadcast from runtime sizes).
 MAX_BROADCAST_DIM_ROWS = 1_000_000
@@ -14,12 +16,19 @@ MAX_BROADCAST_DIM_BYTES = 32 << 20
 
 
 def bounded_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_DIM_ROWS,
-                      max_bytes: int = MAX_BROADCAST_DIM_BYTES) -> DataFrame:
-    """``broadcast(dim)`` when it has at most ``max_rows`` rows and, written as
-    JSON, ``max_bytes`` bytes, else ``dim`` unchanged.  The check reads at most
-    ``max_rows + 1`` rows, in the executors (two numbers reach the driver)."""
-    size = F.octet_length(F.to_json(F.struct(*dim.columns)))
-    rows, total = dim.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
-    if rows <= max_rows and (total or 0) <= max_bytes:
-        return F.broadcast(dim)
-    return dim
+                      max_bytes: int = MAX_BROADCAST_DIM_BYTES, beyond: str | None = None) -> DataFrame:
+    """``dim``, written once, as a broadcast side when it has at most ``max_rows``
+    rows and, as JSON, ``max_bytes`` bytes, else as a plain table (with the join
+    hint ``beyond``, if given).
+
+    Rows and bytes are observed while the table is written into the shared
+    scratch folder, so its plan runs once: the join reads what was measured, and
+    every later use reads it too.  Two numbers reach the driver."""
+    seen = Observation()
+    size = F.octet_length(F.to_json(F.struct(*[dim[c] for c in dim.columns])))
+    path = scratch_path(dim.sparkSession, "dimension")
+    dim.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes")).write.parquet(path)
+    written = dim.sparkSession.read.schema(dim.schema).parquet(path)
+    if seen.get["rows"] <= max_rows and (seen.get["bytes"] or 0) <= max_bytes:
+        return F.broadcast(written)
+    return written.hint(beyond) if beyond else written

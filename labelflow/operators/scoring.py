@@ -182,8 +182,8 @@ def score_prompts(df: DataFrame, prompt_col: str, scorer_factory: Callable[[], o
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(answers, pa.string())], ["_k", "_a"])
 
     answers = distinct.mapInArrow(run, "_k binary, _a string")
-    # answers are written once: the size check and the join read them, the model runs once
-    answers = bounded_broadcast(cut_lineage(answers.select(F.col("_k").alias("_ak"), F.col("_a").alias(out_col))))
+    # answers are written once: the model runs once, the join reads its answers
+    answers = bounded_broadcast(answers.select(F.col("_k").alias("_ak"), F.col("_a").alias(out_col)))
     return df.withColumn("_k", digest).join(answers, F.col("_k") == F.col("_ak"), "left").drop("_k", "_ak")
 
 

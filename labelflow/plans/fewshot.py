@@ -29,12 +29,11 @@ def split_exemplars(df: DataFrame, id_col: str, class_col: str, n: int,
     exemplars; every other row is a query.
 
     The ranking reads only (class, id); the chosen ids (n per class) and then
-    the exemplar rows are checkpointed into the shared checkpoint folder, so
-    the later size check, broadcast and anti join read those small tables
-    instead of rescanning the vectors."""
-    picked = cut_lineage(top_k_per_group(df.select(class_col, id_col), class_col, n, id_col, seed)
-                         .select(id_col))
-    ids = bounded_broadcast(picked)
+    the exemplar rows are written into the shared checkpoint folder, so the
+    later size check, broadcast and anti join read those small tables instead
+    of rescanning the vectors."""
+    ids = bounded_broadcast(top_k_per_group(df.select(class_col, id_col), class_col, n, id_col, seed)
+                            .select(id_col))
     ex = cut_lineage(df.join(ids, id_col, "left_semi"))
     queries = df.join(ids, id_col, "left_anti")
     return ex, queries

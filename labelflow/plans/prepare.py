@@ -16,7 +16,6 @@ from labelflow.functions.prompts import build_prompt, entity_prompt, pair_prompt
 from labelflow.operators.joins import bounded_broadcast
 from labelflow.operators.options import prompt_options_company
 from labelflow.operators.sampling import exact_split
-from labelflow.session import cut_lineage
 
 CLASSIFICATION = "classification"
 ENTITY_EXTRACTION = "entity_extraction"
@@ -61,12 +60,24 @@ def entity_dataset(flat: DataFrame, text_col: str = "sample_text",
              .withColumn("generator_text_no_company", p))
 
 
-def leak_anti_join(df: DataFrame, other: DataFrame, text_col: str = "sample_text") -> DataFrame:
-    """Drop rows whose text occurs in ``other`` (exact, null-free equality)."""
-    # 256-bit digests are the keys: texts are neither compared nor grouped
-    digest = F.unhex(F.sha2(F.col(text_col), 256))
-    known = other.select(digest.alias("_leak")).where(F.col("_leak").isNotNull()).distinct()
-    return df.join(known, digest == F.col("_leak"), "left_anti")
+def leaked_digests(df: DataFrame, other: DataFrame, text_col: str = "sample_text") -> DataFrame:
+    """Digests of the texts that occur in both tables, written, and a broadcast side where they fit.
+
+    Distinct 256-bit digests of both sides meet, so a digest that many rows share
+    is one row before any shuffle, and no text or prompt is exchanged."""
+    def digests(side: DataFrame) -> DataFrame:
+        key = F.unhex(F.sha2(F.col(text_col), 256)).alias("_leak")
+        return side.select(key).where(F.col("_leak").isNotNull()).distinct()
+
+    return bounded_broadcast(digests(df).join(digests(other), "_leak", "left_semi"))
+
+
+def leak_anti_join(df: DataFrame, other: DataFrame, text_col: str = "sample_text",
+                   leaked: DataFrame | None = None) -> DataFrame:
+    """Drop rows whose text occurs in ``other`` (exact, null-free equality); ``leaked`` is
+    the verdict of :func:`leaked_digests`, if it is known."""
+    leaked = leaked_digests(df, other, text_col) if leaked is None else leaked
+    return df.join(leaked, F.unhex(F.sha2(F.col(text_col), 256)) == F.col("_leak"), "left_anti")
 
 
 def multi_task_union(classification: DataFrame, entity: DataFrame,
@@ -97,10 +108,6 @@ def same_intent_pairs(df: DataFrame, class_col: str = "class_name",
     sized = ranked.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy(class_col)))
     kept = (sized.filter(F.col("_r") <= F.floor(F.col("_c") / 2) * 2)
                  .select(F.col(class_col).alias("_cls"), F.col(id_col).alias("_id"), "_r"))
-    # the drawn rows (<= 8 per class) are materialised once in the shared
-    # checkpoint folder: the size check and the join then read that small
-    # table instead of recomputing the dedup and ranking
-    kept = cut_lineage(kept)
     texts = df.select(class_col, id_col, text_col).join(
         bounded_broadcast(kept), (F.col(id_col) == F.col("_id")) & (F.col(class_col) == F.col("_cls")))
     pairs = (texts.withColumn("pair_no", F.floor((F.col("_r") + 1) / 2).cast("bigint"))
@@ -136,7 +143,9 @@ def preprocess_table(prepared: DataFrame, id_col: str = "doc_id", entity: DataFr
         if no_classification_task:
             table = e_table
         else:
-            table = leak_anti_join(table, entity).unionByName(e_table, allowMissingColumns=True)
+            # the verdict needs neither split nor prompts
+            leaked = leaked_digests(prepared, entity)
+            table = leak_anti_join(table, entity, leaked=leaked).unionByName(e_table, allowMissingColumns=True)
     return table, pairs
 
 

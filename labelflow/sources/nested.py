@@ -6,9 +6,8 @@ disagree between files).  ``explode_examples`` flattens with the example's
 stored ``pos`` when present, else its array position in the whole company.
 
 Scale: a company is not one record.  ``nest_examples`` cuts each company
-into records of at most ``max_examples`` examples (by ranges of the order
-column), so no task ever holds a whole company; readers treat repeated
-company names as one company.  Each record holds its ``First Position``, the
+into records bounded by examples and by bytes, so no task ever holds a whole
+company; readers treat repeated company names as one company.  Each record holds its ``First Position``, the
 number of the company's examples in the records before it.
 """
 
@@ -18,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelflow.operators.runs import RANGE, ranged
+
 EXAMPLE_TYPE = T.StructType([
     T.StructField("sample_text", T.StringType()),
     T.StructField("class", T.StringType()),
@@ -47,8 +48,9 @@ def filter_datasets(nested: DataFrame, names: str | list[str]) -> DataFrame:
     return nested.filter(F.col("`Company Name`").isin(list(names)))
 
 
-# examples per written record (bounds the task that assembles one record)
+# examples and bytes of text per written record (bounds the task that assembles one record)
 MAX_EXAMPLES_PER_RECORD = 10_000
+MAX_BYTES_PER_RECORD = 32 << 20
 
 
 def explode_examples(nested: DataFrame) -> DataFrame:
@@ -84,30 +86,45 @@ def nest_examples(flat: DataFrame, company_col: str = "company_name", pos_col: s
                   text_col: str = "sample_text", class_col: str = "class_name",
                   number_col: str = "class_number",
                   entity_col: str | None = None,
-                  max_examples: int = MAX_EXAMPLES_PER_RECORD) -> DataFrame:
+                  max_examples: int = MAX_EXAMPLES_PER_RECORD,
+                  max_bytes: int = MAX_BYTES_PER_RECORD) -> DataFrame:
     """Regroup flat rows into ``{Company Name, Examples: [...], First Position}``
-    records ordered by ``pos`` (integers, unique within a company).  A record
-    covers one range ``[k*max_examples, (k+1)*max_examples)`` of ``pos``, so it
-    holds at most ``max_examples`` examples however large the company.  First
-    positions come from the records' counts alone; examples meet only by record."""
+    records ordered by ``pos`` (null last, rows of one ``pos`` by a hash).
+
+    Rows are dealt by ranges of (company, pos), and numbered within range and
+    company; what a company has in earlier ranges, one row a range, is added.  A
+    record ends after ``max_examples`` examples and where the texts' running
+    bytes pass a multiple of ``max_bytes``, so it holds at most that and one
+    text, however large the company and whatever its positions."""
     fields = [F.col(pos_col).cast("bigint").alias("_pos"), F.col(text_col).alias("sample_text"),
               F.col(class_col).alias("class"), F.col(number_col).cast("int").alias("class number")]
     fields.append((F.col(entity_col) if entity_col else F.lit(None).cast("string"))
                   .alias("entity_action"))
-    chunk = F.floor(F.col(pos_col) / F.lit(max_examples))
-    # as a struct, a null company equals itself in the join
-    rows = flat.select(F.struct(F.col(company_col).alias("company"), chunk.alias("chunk")).alias("_record"),
-                       F.struct(*fields).alias("_e"))
-    before = (Window.partitionBy("_record.company").orderBy("_record.chunk")
-                    .rowsBetween(Window.unboundedPreceding, -1))
-    firsts = (rows.groupBy("_record").agg(F.count(F.lit(1)).alias("_n"))
-                  .select("_record", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")))
-    g = (rows.groupBy("_record").agg(F.array_sort(F.collect_list("_e")).alias("_ex"))
-             .join(firsts, "_record"))
-    return g.select(F.col("_record.company").alias("Company Name"),
-                    F.transform("_ex", lambda e: e.withField("pos", e["_pos"]).dropFields("_pos"))
-                     .alias("Examples"),
-                    F.col("_first").cast("bigint").alias("First Position"))
+    # as a struct, a null company equals itself in joins
+    rows = flat.select(F.struct(F.col(company_col).alias("company")).alias("_c"), *fields)
+    rows = rows.withColumn("_tie", F.xxhash64(*[c for c in rows.columns if c not in ("_c", "_pos")]))
+    order = [F.col("_pos").asc_nulls_last(), F.col("_tie")]
+    table = ranged(rows.withColumn("_b", F.coalesce(F.octet_length("sample_text"), F.lit(0)).cast("bigint")),
+                   [F.col("_c"), *order], "nested")
+    upto = Window.partitionBy("_c").orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    before = (table.groupBy("_c", RANGE).agg(F.count(F.lit(1)).alias("_n"), F.sum("_b").alias("_s"))
+                   .select("_c", RANGE, F.sum("_n").over(upto).alias("_n0"), F.sum("_s").over(upto).alias("_s0"))
+                   .where(F.col("_n0").isNotNull()))        # companies that go on from earlier ranges: one a range
+    inside = Window.partitionBy(RANGE, "_c").orderBy(*order)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    placed = (table.withColumn("_i", (F.row_number().over(inside) - 1).cast("bigint"))
+                   .withColumn("_a", F.coalesce(F.sum("_b").over(earlier), F.lit(0)))
+                   .join(F.broadcast(before), ["_c", RANGE], "left")
+                   .withColumn("_i", F.col("_i") + F.coalesce("_n0", F.lit(0)))
+                   .withColumn("_a", F.col("_a") + F.coalesce("_s0", F.lit(0))))
+    example = F.struct("_i", "sample_text", "class", "class number", "entity_action", F.col("_pos").alias("pos"))
+    # grouped where the window left the rows: its partitioning is part of the key
+    g = (placed.groupBy(RANGE, "_c", F.floor(F.col("_i") / max_examples).alias("_k"),
+                        F.floor(F.col("_a") / max_bytes).alias("_m"))
+               .agg(F.array_sort(F.collect_list(example)).alias("_ex"), F.min("_i").alias("_first")))
+    return g.select(F.col("_c.company").alias("Company Name"),
+                    F.transform("_ex", lambda e: e.dropFields("_i")).alias("Examples"),
+                    F.col("_first").alias("First Position"))
 
 
 def write_nested_dataset(nested: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -87,3 +87,29 @@ def test_company_in_several_records_needs_positions(spark):
     assert sorted(r.pos for r in nested.explode_examples(nest).collect()) == [0, 1, 2, 3, 4]
     with pytest.raises(Exception, match="several records without a first position: five"):
         nested.explode_examples(_without_pos(nest)).collect()
+
+
+def test_records_are_bounded_by_examples_and_bytes(spark, tmp_path):
+    rows = [("a", None, f"null position {i}", "x", 1) for i in range(300)]
+    rows += [("a", 7, f"one position {i}", "x", 1) for i in range(200)]
+    rows += [("b", i, "y" * 100_000, "x", 1) for i in range(30)] + [(None, 5, "no company", "x", 1), (None, 4, None, "x", 1)]
+    rows += [("c", i, f"c{i}", "x", 1) for i in range(10)]
+    flat = spark.createDataFrame(rows, "company_name string, pos long, sample_text string, class_name string, "
+                                       "class_number int").repartition(5)
+    nest = nested.nest_examples(flat, max_examples=32, max_bytes=500_000)
+    records = nest.select("Company Name", "Examples", "First Position").collect()
+    for r in records:
+        assert 1 <= len(r.Examples) <= 32
+        assert sum(len(e.sample_text or "") for e in r.Examples) <= 500_000 + 100_000
+    assert len([r for r in records if r["Company Name"] == "b"]) >= 6
+    # first positions and array positions number every company's examples without gaps
+    for name in ("a", "b", "c", None):
+        mine = [r for r in records if r["Company Name"] == name]
+        at = sorted(r["First Position"] + i for r in mine for i in range(len(r.Examples)))
+        assert at == list(range(len([x for x in rows if x[0] == name])))
+    path = str(tmp_path / "records")
+    nested.write_nested_dataset(nest, path)
+    back = nested.explode_examples(nested.read_nested_dataset(spark, path, multi_line=False))
+    assert sorted(((r.company_name, r.sample_text) for r in back.collect()), key=str) == sorted(((x[0], x[2]) for x in rows), key=str)
+    places = [r.pos for r in back.where("company_name = 'a' and sample_text like 'null%'").collect()]
+    assert sorted(places) == list(range(200, 500))           # null positions come last and are numbered on
