@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelflow.session import scratch_path
+from labelflow.session import written
 
 RANGE = "_range"
 
@@ -21,9 +21,7 @@ def ranged(df: DataFrame, order: list[Column], name: str = "ranged") -> DataFram
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = df.repartitionByRange(parts, *order).withColumn(RANGE, F.spark_partition_id())
-    path = scratch_path(spark, name)
-    out.write.parquet(path)
-    return spark.read.schema(out.schema).parquet(path)
+    return written(out, name)
 
 
 def running(table: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:

@@ -34,10 +34,7 @@ _SUBS = ("list_distinct(flatten(list_transform(range(1, length({x}) + 1), lambda
          "list_transform(range(1, length({x}) - i + 2), lambda k: substr({x}, i, k)))))")
 _BLOCK = ("list_max(list_transform(list_intersect(" + _SUBS.format(x="a") + ", " + _SUBS.format(x="b") + "), "
           "lambda s: {'k': length(s), 'i': -instr(a, s), 's': s})).s")
-CLOSEST_SQL = f"""WITH RECURSIVE {MUTATE_SQL},
-lab AS (SELECT DISTINCT lower(p_name) AS label FROM part),
-miss AS (SELECT DISTINCT lower(prediction) AS p FROM mp WHERE lower(prediction) NOT IN (SELECT label FROM lab)),
-node AS (
+CLOSEST_CTES = f"""node AS (
   SELECT p, label, a, b, {_BLOCK} AS s FROM (SELECT p, label, label AS a, p AS b FROM miss, lab)
   UNION ALL
   SELECT p, label, a, b, {_BLOCK} AS s
@@ -48,7 +45,12 @@ node AS (
 r AS (SELECT p, label, 2.0 * coalesce(sum(length(s)), 0) / (length(p) + length(label)) AS ratio
       FROM node GROUP BY p, label),
 best AS (SELECT p, label FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY ratio DESC, label DESC) AS n FROM r)
-         WHERE n = 1)
+         WHERE n = 1)"""
+# relations miss (p) and lab (label) give best (p, label)
+CLOSEST_SQL = f"""WITH RECURSIVE {MUTATE_SQL},
+lab AS (SELECT DISTINCT lower(p_name) AS label FROM part),
+miss AS (SELECT DISTINCT lower(prediction) AS p FROM mp WHERE lower(prediction) NOT IN (SELECT label FROM lab)),
+{CLOSEST_CTES}
 SELECT mp.p_partkey, mp.prediction, coalesce(best.label, lower(mp.prediction)) AS label
 FROM mp LEFT JOIN best ON best.p = lower(mp.prediction)"""
 

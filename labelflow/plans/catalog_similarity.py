@@ -25,7 +25,7 @@ s AS (SELECT q.vec_id, q.label AS y, ex.exemplar_id, ex.category,
                     OR list_dot_product(ex.embedding::DOUBLE[], ex.embedding::DOUBLE[]) = 0 THEN 0.0
                   ELSE list_cosine_similarity(q.embedding::DOUBLE[], ex.embedding::DOUBLE[]) END AS sim
       FROM q CROSS JOIN ex),
-rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, exemplar_id) AS rnk FROM s)"""
+rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 9) DESC, exemplar_id) AS rnk FROM s)"""
 
 
 def _emb(spark, sf):

@@ -112,14 +112,14 @@ def option_texts_sql(options: str) -> str:
 def conversation_examples(conversations: DataFrame) -> DataFrame:
     """Conversation turns as flat examples: company = ``conv_<id>``, pos =
     turn, sample text = the whole text, class = role, class number =
-    turn, row id = 52 bits of a digest of (conv_id, turn, role).  User turns that contain a comma
+    turn, row id = 60 bits of a digest of (conv_id, turn, role).  User turns that contain a comma
     carry an entity annotation (their first word, lower-cased); all other
     rows have none."""
     txt = F.col("text")
     ent = F.when((F.col("role") == "user") & (F.instr(txt, ",") > 0),
                  F.lower(F.split_part(txt, F.lit(" "), F.lit(1))))
     return conversations.select(
-        F.conv(F.substring(F.md5(F.concat_ws("-", "conv_id", "turn", "role")), 1, 13), 16, 10).cast("bigint").alias("id"),
+        F.conv(F.substring(F.md5(F.concat_ws("-", "conv_id", "turn", "role")), 1, 15), 16, 10).cast("bigint").alias("id"),
         F.concat(F.lit("conv_"), F.col("conv_id").cast("string")).alias("company_name"),
         F.col("turn").alias("pos"),
         txt.alias("sample_text"),
@@ -128,7 +128,7 @@ def conversation_examples(conversations: DataFrame) -> DataFrame:
         ent.alias("entity_action"))
 
 
-CONV_SQL = """cx AS (SELECT ('0x' || substr(md5(concat_ws('-', conv_id, turn, role)), 1, 13))::UBIGINT::BIGINT AS id, 'conv_' || CAST(conv_id AS VARCHAR) AS company_name,
+CONV_SQL = """cx AS (SELECT ('0x' || substr(md5(concat_ws('-', conv_id, turn, role)), 1, 15))::UBIGINT::BIGINT AS id, 'conv_' || CAST(conv_id AS VARCHAR) AS company_name,
                  turn AS pos, text AS sample_text, role AS class_name,
                  CAST(turn AS INTEGER) AS class_number,
                  CASE WHEN role = 'user' AND instr(text, ',') > 0 THEN lower(split_part(text, ' ', 1)) END

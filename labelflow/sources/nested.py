@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelflow.operators.runs import RANGE, ranged
+from labelflow.session import written
 
 EXAMPLE_TYPE = T.StructType([
     T.StructField("sample_text", T.StringType()),
@@ -59,7 +60,9 @@ def explode_examples(nested: DataFrame) -> DataFrame:
     ``pos`` is the stored position when the file has one, else the record's
     first position plus the array position.  A record without a first position
     is its whole company (as hand-made files hold it); reading positions fails
-    if such a company has several records."""
+    if such a company has several records.  The records are written as Parquet
+    first, so JSON is parsed once and the check reads names and positions only."""
+    nested = written(nested, "nested-records")
     stored = "pos" in nested.schema["Examples"].dataType.elementType.names
     first = (F.col("`First Position`") if "First Position" in nested.columns
              else F.lit(None).cast("bigint"))
