@@ -26,6 +26,7 @@ from labelflow.llm import features as X
 PER_CLASS = 3000
 FEATURES = 4096
 EPOCHS = 20
+TOLERANCE = 0.01
 COST = 1.0
 
 
@@ -40,18 +41,19 @@ def dual_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost:
     norm = np.array([float((scale[r] ** 2).sum()) + 1.0 for r in rows])
     order = np.random.default_rng(0)
     for _ in range(epochs):
-        moved = 0.0
+        worst = 0.0
         for i in order.permutation(len(rows)):
             at = rows[i]
             g = y[i] * (float(w[at] @ scale[at]) + bias) - 1
+            # how far the row is from its optimum: no gradient may point into [0, cost]
+            worst = max(worst, -g if alpha[i] <= 0 else g if alpha[i] >= cost else abs(g))
             new = min(max(alpha[i] - g / norm[i], 0.0), cost)
             d = new - alpha[i]
             if d:
                 alpha[i] = new
                 w[at] += d * y[i] * scale[at]
                 bias += d * y[i]
-                moved = max(moved, abs(d))
-        if moved < 1e-3 * cost:
+        if worst < TOLERANCE:
             break
     return w, bias
 
