@@ -13,8 +13,17 @@ Fragments repeat a lot: a slice of the batch is cut with array operations, its
 distinct fragments are encoded once, and the ids are gathered back.  Fragments
 of ASCII and two-byte Latin letters go through the faster of two encoders over
 the same vocabulary; all others (other scripts, very long ones) through the
-tokenizer the file describes.  Decoding concatenates the tokens' bytes.  Null
-texts are empty and encode to no id.
+tokenizer the file describes.  Decoding concatenates the tokens' bytes.
+
+What this rests on is compared with the file: each merge's token must have a
+larger id than the one before (ids then serve as ranks), and normaliser,
+pre-tokenizer and model options must be the plain byte-level ones.  A byte-level
+file that differs is not cut: its rows go whole through the described tokenizer.
+Other kinds of vocabulary are refused.
+
+Null texts are empty and encode to no id.  Null and repeated ids are kept, each
+row is encoded by itself.  A very long text is one slice.  An empty table gives
+an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -67,6 +76,17 @@ def safe_pairs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pair & ~inside, latin & ~inside
 
 
+def plain_byte_level(spec: dict, merges: list[str]) -> bool:
+    """Whether ids follow the order of the merges and nothing but the plain byte-level options is set."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    ids = np.array([model["vocab"][m] for m in merges], np.int64)
+    return (bool((np.diff(ids) > 0).all()) and not spec.get("normalizer")
+            and before.get("type") == "ByteLevel" and not before.get("add_prefix_space", True)
+            and before.get("use_regex", True)
+            and not any(model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix",
+                                               "end_of_word_suffix")))
+
+
 class Codec:
     """Encoder and decoder over one vocabulary; lives in a task."""
 
@@ -76,7 +96,7 @@ class Codec:
         self.described = None
         self.source = tokenizer_json
         spec = json.loads(tokenizer_json)
-        merges = len(spec["model"]["merges"])
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in spec["model"]["merges"]]
         chars = byte_chars()
         special = {t["id"]: t["content"] for t in spec.get("added_tokens", [])}
         vocab = {i: t for t, i in spec["model"]["vocab"].items()} | special
@@ -92,10 +112,10 @@ class Codec:
         inside = np.zeros((256, 256), bool)
         at = np.flatnonzero(within)
         inside[joined[at - 1], joined[at]] = True
-        # ids of the vocabulary follow the order of its merges, so they serve as ranks
         ranks = {t: i for i, t in enumerate(tokens) if t and i not in special}
-        if len(ranks) != merges + 256:
+        if len(ranks) != len(merges) + 256:
             raise ValueError("not a byte-level vocabulary of 256 bytes and one token per merge")
+        self.cuttable = plain_byte_level(spec, merges)
         self.fast = tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.special = {t.encode(): i for i, t in special.items()}
         self.pair, self.latin = (m.ravel() for m in safe_pairs(inside))
@@ -107,7 +127,7 @@ class Codec:
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Start positions of the fragments; every row starts one."""
         cut = np.zeros(len(data) + 1, bool)
-        if len(data) > 1:
+        if len(data) > 1 and self.cuttable:
             two = (data[:-1].astype(np.uint16) << 8) | data[1:]
             cut[1:-1] = self.pair[two]
             if len(data) > 2:
@@ -137,9 +157,9 @@ class Codec:
         return [self.described.encode(f.decode(), add_special_tokens=False).ids for f in fragments]
 
     def _encode_fragment(self, f: bytes) -> list[int]:
-        if f in self.special:
+        if f in self.special and self.cuttable:
             return [self.special[f]]
-        if len(f) <= LONG_BYTES and (f.isascii() or LATIN.fullmatch(f)):
+        if self.cuttable and len(f) <= LONG_BYTES and (f.isascii() or LATIN.fullmatch(f)):
             return self.fast.encode_ordinary(f.decode())
         return self._described([f])[0]
 
