@@ -15,8 +15,12 @@ each parsed from the root.  Texts are read in lower case, with every run of
 ASCII non-letters as one blank.
 
 A text that is null or has no letter is ``und`` with score 0.  Without any
-labelled text every text is ``und``.  The score is the runner-up's phrases as
-a share of both counts, 1 if a single language is known.
+labelled text every text is ``und``, as it is with more languages than
+``SAMPLE_TOTAL`` bytes (none gets a byte then).  The score is the runner-up's
+phrases as a share of both counts, 1 if a single language is known.  Rows with a
+null id, and repeated rows, are predicted one by one; rows without id, text or
+lang are not learned from.  Whole texts are read, very long ones in windows.
+An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +38,8 @@ from pyspark.sql import types as T
 from labelflow.llm import common as C
 
 SAMPLE_BYTES = 24_000       # labelled text a language is learned from
-SAMPLE_TOTAL = 1_000_000    # of all languages together
+SAMPLE_TOTAL = 125_000      # of all languages together: at most 2 states a byte, each of 4 bytes
+                            # a byte class (256 at most), so all tables stay below 256 MB
 SAMPLE_DOCS = 200           # distinct texts a language's sample is drawn from
 WINDOW = 1024
 LETTER = re.compile(r"[^\W\d_]")
