@@ -37,7 +37,8 @@ from pyspark.sql import types as T
 from labelflow.llm import common as C
 from labelflow.llm.exact_dedup import misra_gries
 
-COUNTERS = 1024
+# no hash that is left to the ranges holds more than this share of all rows
+COUNTERS = 16_384
 STRIP = b" \t\n\x0b\x0c\r"
 RUN = ["h", "id", "text_key", "n_lines", "pos"]
 
