@@ -34,7 +34,10 @@ remains is verified.  Links are joined by distributed connected components.
 
 Texts without a word are empty sets: linked with nothing.  Texts with fewer
 words than ``n`` have one shingle, the whole sequence.  A row with a null id
-has no part in links; its component is null unless an equal set has an id.
+has no part in links; its component is null unless an equal set has an id.  Rows
+repeated with one id, with the same or another text, are rows each, in the class
+of their own text.  A very long text is one slice; an empty table gives an empty
+result; other columns are not read (``keep_one`` keeps them).
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ subset construction and a minimisation turn it into an array of transitions
 over byte classes, with a bit set of rules per accepting state.  All rules are
 scanned in one pass over the bytes.
 
-Some bytes lead from every state to the start state (a line break, a comma, any
+The automaton is a filter: it tells which stretches of text hold a match of which
+rule.  Some bytes lead from every state to the start state (a line break, a comma, any
 non-ASCII byte): no match crosses them.  Texts are cut into lanes behind such
 bytes and the lanes of a slice advance together, one byte a step, by array
 lookups.  A lane in which a rule fires is then matched exactly by the rule's
@@ -13,7 +14,9 @@ base pattern, leftmost and non-overlapping, which gives the spans; a lane's
 matches are the text's, since none crosses a lane's end.
 
 Spans are code points, end exclusive.  Null and empty texts have none.  Texts
-of any length are scanned whole; one without such bytes is a single lane.
+of any length are scanned whole; one without such bytes is a single lane.  Null
+ids and repeated rows are kept, each row is scanned by itself; an empty table
+gives an empty result.  ``scan`` reads no other columns, ``redact`` keeps them.
 """
 
 from __future__ import annotations
