@@ -54,6 +54,7 @@ from pyspark.sql import types as T
 
 from labelflow.llm import common as C
 from labelflow.llm.components import components
+from labelflow.operators.joins import bounded_broadcast
 
 GROUP_SIGNATURES = 1_000_000
 BLOCK_NODES = 512
@@ -316,10 +317,12 @@ def strong_meetings(met: DataFrame, table: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- verification
 
 def node_texts(docs: DataFrame, nodes: DataFrame, table: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, t) of the nodes in ``nodes`` (node); texts are joined by id only, each once for all checks."""
+    """(node, t) of the nodes in ``nodes`` (node); texts are joined by id only, each once for all checks,
+    and shuffled only where the ids are too many to broadcast."""
     ids = (table.where("id is not null").join(nodes, "node").groupBy("node").agg(F.min("id").alias("low"))
            .select("node", "low"))
-    return _texts(docs, id_col, text_col).join(ids.hint("shuffle_hash"), F.col("id") == F.col("low")).select("node", "t")
+    ids = bounded_broadcast(ids, beyond="shuffle_hash")
+    return _texts(docs, id_col, text_col).join(ids, F.col("id") == F.col("low")).select("node", "t")
 
 
 def node_sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -542,8 +545,9 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_
     stay (exact dedup removes them before).
     """
     found = classes(docs, n, percent, id_col, text_col)
-    drop = found.where("component < id").select(F.col("id").alias("dropped_id")).distinct()
-    return docs.join(drop.hint("shuffle_hash"), docs[id_col] == drop["dropped_id"], "left_anti")
+    drop = found.where("component < id").select(F.col("id").alias("dropped id")).distinct()
+    drop = bounded_broadcast(drop, beyond="shuffle_hash")
+    return docs.join(drop, docs[id_col] == drop["dropped id"], "left_anti")
 
 
 QUERIES = {"op7_partenum_jaccard": q_op7}
