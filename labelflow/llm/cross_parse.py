@@ -41,6 +41,7 @@ SAMPLE_BYTES = 24_000       # labelled text a language is learned from
 SAMPLE_TOTAL = 125_000      # of all languages together: at most 2 states a byte, each of 4 bytes
                             # a byte class (256 at most), so all tables stay below 256 MB
 SAMPLE_DOCS = 200           # distinct texts a language's sample is drawn from
+SAMPLE_PARTS = 16
 WINDOW = 1024
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -169,9 +170,12 @@ def sample_pieces(docs: DataFrame, labelled, id_col: str, text_col: str, lang_co
                                        F.unhex(F.md5(text)).alias("key"), text.alias("t")).dropna()
     distinct = rows.groupBy("lang", "key").agg(F.max(F.octet_length("t")).alias("size"),
                                                F.max(F.length("t")).alias("chars")).where("size > 0")
-    by_key = Window.partitionBy("lang").orderBy("key")
-    drawn = C.materialize(distinct.withColumn("n", F.row_number().over(by_key)).where(F.col("n") <= SAMPLE_DOCS),
-                          "language_sample")
+    # a language's first texts are among the first of its parts: what one task ranks does not grow with the tasks
+    parts = distinct.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(SAMPLE_PARTS)))
+    for by in (("lang", "part"), ("lang",)):
+        parts = (parts.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("key")))
+                 .where(F.col("n") <= SAMPLE_DOCS))
+    drawn = C.materialize(parts.drop("part"), "language_sample")
     most = min(SAMPLE_BYTES, SAMPLE_TOTAL // max(1, drawn.select("lang").distinct().count()))
     # with very many languages each has fewer texts, not shorter pieces
     drawn = drawn.where(F.col("n") <= (max(1, most * SAMPLE_DOCS // SAMPLE_BYTES) if most else 0))
