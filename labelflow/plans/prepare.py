@@ -3,7 +3,8 @@
 ``prepare_labelled_table`` turns flat examples into the prompted table;
 ``preprocess`` splits it, mines same-intent pairs, adds the entity task and
 removes train/test leaks.  Option blocks are computed once per company and
-joined back last, so long strings never ride a shuffle of the big table.
+joined back last, by a broadcast where they fit.  Prompts are then in no shuffle
+of the big table: splits, pairs and leaks are decided on ids and digests.
 """
 
 from __future__ import annotations

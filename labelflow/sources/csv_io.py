@@ -34,12 +34,3 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
        .csv(path))
-
-
-def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
-                  partition_by: list[str] | None = None) -> None:
-    """The default sink: parquet, optionally partitioned (e.g. by dataset)."""
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
