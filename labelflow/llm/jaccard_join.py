@@ -1,21 +1,25 @@
 """Near-duplicate classes by an exact n-gram Jaccard join with PartEnum signatures.
 
 A document's set holds the 64-bit hashes of its word shingles; documents with
-equal sets are one node (copies are never expanded into pairs).
+equal sets are one node (copies are never expanded into pairs).  Equal means equal
+in 128 bits: a node is known by a 64-bit key, and where sets with one key differ in
+a second key, made from other hashes of the shingles, each goes by its second key.
 
 Signatures.  Sets whose Jaccard similarity is at least p/100 differ in at most
 k = (100 - p)(|a| + |b|) / (100 + p) shingles.  Sizes fall into bands; a set
 signs for its own band and, if it may have partners in the next band, for that
 one too, so two such sets always sign for a common band and its k.  Within a
-band the shingle domain is partitioned by a hash into cells, some more than k:
-a signature is the content of one cell, or for small k of a pair of cells.
+band the shingle domain is partitioned by a hash into parts, some more than k / 2,
+and each part into three cells; a signature is the content of two cells of a part
+(small k: one part of k + 3 cells).  Where two sets differ in at most k shingles,
+some part holds at most one of them, and two of its cells agree.
 Any partner of a set of size s differs from it in at most d = min(k, (100 - p)s / p)
-shingles, which touch at most d cells; with f filled cells at least f - d filled
-ones agree.  So empty cells, which would match any sparse set, are left out
-unless f <= d, and similar sets share f - d signatures at least (of pairs
-accordingly): a set that shares fewer has no partner in that band.  More, the
-f - d - 1 most frequent signatures of each set can go: the rarest one that two
-similar sets share is among those of neither.
+shingles, each in one cell: in a part with three filled cells the first of them
+costs two pairs of filled cells, all others cost one pair at most.  What is left of
+the filled pairs is the number of signatures that similar sets share at least.  So
+empty cells, which would match any sparse set, are left out unless that is none, and
+of every set the most frequent signatures, one fewer than that number, can go: the
+rarest one that two similar sets share is among those of neither.
 
 Candidates.  A task sorts the signatures of its slice of documents, links the
 members of a signature to its first one, and ships only the first: a signature
@@ -60,36 +64,39 @@ GROUP_SIGNATURES = 1_000_000
 BLOCK_NODES = 512
 BLOCK_SHINGLES = 8_000_000
 PIVOT_NODES = 500
-SPARE = 6          # cells beyond k + 1 where single cells sign, and a sixth of k more
-PAIRED = 3         # up to this k pairs of cells sign
+PART = 3           # cells of a part
+SPARE = 3          # parts beyond k / 2, and a twelfth of k more
+ONE_PART = 3       # up to this k all cells are one part
+MAX_CLASHES = 1_000_000    # keys that several sets have: some n * n / 2**65 of n sets
 BAND_BITS = 127    # these bits of a signature tell its band
 
 
 # ---------------------------------------------------------------- sets
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, shingle hash), distinct and sorted by row and hash."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle hash, other hash of the shingle), distinct and sorted by row and hash."""
     low = C.LOWER[data]
     start, end, row = C.words(low, offsets)
     word = C.span_hashes(low, start, end)
     if not len(word):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     # a row of m words has max(1, m - n + 1) shingles; missing words count as 0
     count = np.bincount(row, minlength=len(offsets) - 1)
     last = np.cumsum(count)[row] - 1
     i = np.arange(len(word))
-    h = np.zeros(len(word), np.uint64)
+    h, other = np.zeros(len(word), np.uint64), np.zeros(len(word), np.uint64)
     with np.errstate(over="ignore"):
         for j in range(n):
-            at = np.minimum(i + j, len(word) - 1)
-            h = C.mix(h * np.uint64(0x9E3779B97F4A7C15) + np.where(i + j <= last, word[at], np.uint64(j + 1)))
+            w = np.where(i + j <= last, word[np.minimum(i + j, len(word) - 1)], np.uint64(j + 1))
+            h = C.mix(h * np.uint64(0x9E3779B97F4A7C15) + w)
+            other = (other ^ (other >> np.uint64(29)) ^ w) * np.uint64(0xC2B2AE3D27D4EB4F)
     keep = (i + n - 1 <= last) | ((i == last - count[row] + 1) & (count[row] < n))
-    row, h = row[keep], h[keep]
+    row, h, other = row[keep], h[keep], other[keep]
     order = np.lexsort((h, row))
-    row, h = row[order], h[order]
+    row, h, other = row[order], h[order], other[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    return row[new], h[new]
+    return row[new], h[new], other[new]
 
 
 def set_keys(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +111,17 @@ def set_keys(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.
     return size, key
 
 
+def node_keys(row: np.ndarray, h: np.ndarray, other: np.ndarray, rows: int, bits: int,
+              clashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(size, node) of each row's set: its key of ``bits`` bits, or its second key where several sets have that one."""
+    size, key = set_keys(row, h, rows)
+    key >>= np.uint64(64 - bits)
+    if len(clashes):
+        hit = np.isin(key, clashes) & (size > 0)
+        key = np.where(hit, set_keys(row, other, rows)[1], key)
+    return size, key
+
+
 def sketches(row: np.ndarray, h: np.ndarray, size: np.ndarray) -> pa.Array:
     """Parity sketch of each row's set, a power of two of at least 64 bits and two bits a
     shingle: bit i tells whether an odd number of shingles hash to i.  A sketch's halves
@@ -145,7 +163,7 @@ def _bands(percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cells(k: np.ndarray) -> np.ndarray:
-    return np.where(k <= PAIRED, k + 3, k + 1 + SPARE + k // 6)
+    return np.where(k <= ONE_PART, k + 3, PART * ((k + 1) // 2 + SPARE + k // 12))
 
 
 class _Band:
@@ -167,13 +185,23 @@ class _Band:
         self.filled = np.bincount(self.cell, minlength=self.total) > 0
         self.owner = np.repeat(np.arange(len(size)), self.m)
         fill = np.bincount(self.owner, self.filled, len(size)).astype(np.int64)
-        # filled cells that agree with any similar set
-        self.agree = fill - np.minimum(self.k, (100 - percent) * size // percent)
+        differ = np.minimum(self.k, (100 - percent) * size // percent)
+        # the parts of the sets with several: their owners, numbers and first cells
+        parts = np.where(self.k > ONE_PART, self.m // PART, 0)
+        self.part_owner = np.repeat(np.arange(len(size)), parts)
+        self.part = C.gather_spans(parts, np.zeros(len(parts), np.int64))
+        self.part_at = self.base[self.part_owner] + PART * self.part
+        full = sum((self.filled[self.part_at + c] for c in range(PART)), np.zeros(len(self.part), np.int64))
+        pairs = np.bincount(self.part_owner, full * (full - 1) // 2, len(size)).astype(np.int64)
+        whole = np.bincount(self.part_owner, full == PART, len(size)).astype(np.int64)
+        several = pairs - 2 * np.minimum(differ, whole) - np.maximum(0, differ - whole)
+        agree = np.maximum(fill - differ, 0)
+        # pairs of filled cells that agree with any similar set
+        self.shared = np.where(self.k > ONE_PART, several, agree * (agree - 1) // 2)
 
     def least(self) -> np.ndarray:
         """Signatures a set shares at least with any similar one that signs for the band."""
-        pairs = self.agree * (self.agree - 1) // 2
-        return np.maximum(1, np.where(self.k <= PAIRED, np.where(self.agree > 1, pairs, 1), self.agree))
+        return np.maximum(1, self.shared)
 
 
 def _own_and_next(row: np.ndarray, h: np.ndarray, rows: int, percent: int) -> tuple[_Band, _Band]:
@@ -189,7 +217,7 @@ def signature_count(size: np.ndarray, percent: int) -> np.ndarray:
     upper, k = _bands(percent)
     k = k[np.minimum(np.searchsorted(upper, size) + 1, len(k) - 1)]
     cells = _cells(k)
-    return np.where(size == 0, 0, np.where(k == 0, 0, 2 * np.where(k <= PAIRED, cells * (cells - 1) // 2, cells)))
+    return np.where(size == 0, 0, np.where(k == 0, 0, 2 * np.where(k <= ONE_PART, cells * (cells - 1) // 2, cells)))
 
 
 def signatures(row: np.ndarray, h: np.ndarray, rows: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,24 +230,23 @@ def signatures(row: np.ndarray, h: np.ndarray, rows: int, percent: int) -> tuple
             low = np.bincount(b.cell, (y & np.uint64(0xFFFFFFFF)).astype(np.float64), b.total).astype(np.uint64)
             high = np.bincount(b.cell, (y >> np.uint64(32)).astype(np.float64), b.total).astype(np.uint64)
             content = C.mix(low * np.uint64(0xC2B2AE3D27D4EB4F) + high)
-            number = np.arange(b.total) - b.base[b.owner]
-            tag = b.band.astype(np.uint64) * np.uint64(1 << 32)
+            tag = C.mix(b.band.astype(np.uint64))
 
-            def put(who, hashes):
+            def put(who, first, second, number):
+                """One pair of cells of each set in ``who``; ``number`` tells the pair among the set's."""
+                ok = (b.filled[first] & b.filled[second]) | (b.shared[who] < 1)
+                who, pair = who[ok], content[first[ok]] * np.uint64(3) + content[second[ok]]
+                hashes = C.mix(pair ^ C.mix(tag[who] + number[ok].astype(np.uint64)))
                 out_row.append(who)
                 out_sig.append((hashes & np.uint64(~BAND_BITS & (1 << 64) - 1))
                                | (b.band[who].astype(np.uint64) & np.uint64(BAND_BITS)))
 
-            single = (b.k[b.owner] > PAIRED) & (b.filled | (b.agree[b.owner] < 1))
-            who = b.owner[single]
-            put(who, C.mix(content[single] ^ C.mix(tag[who] + number[single].astype(np.uint64))))
-            for kk in range(1, PAIRED + 1):
+            for i, (c, d) in enumerate(itertools.combinations(range(PART), 2)):
+                put(b.part_owner, b.part_at + c, b.part_at + d, PART * b.part + i)
+            for kk in range(1, ONE_PART + 1):
                 mine = np.flatnonzero(b.takes & (b.k == kk))
                 for i, (c, d) in enumerate(itertools.combinations(range(kk + 3), 2)):
-                    cc, cd = b.base[mine] + c, b.base[mine] + d
-                    ok = (b.filled[cc] & b.filled[cd]) | (b.agree[mine] < 2)
-                    pair = content[cc] * np.uint64(3) + content[cd]
-                    put(mine[ok], C.mix(pair ^ C.mix(tag[mine] + np.uint64(1 << 20) + np.uint64(i)))[ok])
+                    put(mine, b.base[mine] + c, b.base[mine] + d, np.full(len(mine), i))
     return np.concatenate(out_row), np.concatenate(out_sig)
 
 
@@ -240,23 +267,25 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
 
 
-def set_table(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, node, n_sig, band, least, least_next, sketch) of every row."""
+def set_table(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, key_bits: int) -> DataFrame:
+    """(id, n_shingles, node, other, n_sig, band, least, least_next, sketch) of every row; other is the second key."""
     rows = _texts(docs, id_col, text_col)
     schema = T.StructType([rows.schema["id"], T.StructField("n_shingles", T.LongType()),
-                           T.StructField("node", T.LongType()), T.StructField("n_sig", T.LongType()),
+                           T.StructField("node", T.LongType()), T.StructField("other", T.LongType()),
+                           T.StructField("n_sig", T.LongType()),
                            T.StructField("band", T.LongType()), T.StructField("least", T.LongType()),
                            T.StructField("least_next", T.LongType()), T.StructField("sketch", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, off in C.text_slices(b.column(1)):
-                row, h = shingle_sets(data, off, n)
-                size, key = set_keys(row, h, hi - lo)
+                row, h, other = shingle_sets(data, off, n)
+                size, key = node_keys(row, h, other, hi - lo, key_bits, ())
+                second = set_keys(row, other, hi - lo)[1]
                 own, after = _own_and_next(row, h, hi - lo, percent)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(key.view(np.int64)),
-                     pa.array(signature_count(size, percent), pa.int64()), pa.array(own.band & BAND_BITS, pa.int64()),
+                     pa.array(second.view(np.int64)), pa.array(signature_count(size, percent), pa.int64()), pa.array(own.band & BAND_BITS, pa.int64()),
                      pa.array(own.least(), pa.int64()), pa.array(after.least(), pa.int64()),
                      sketches(row, h, size)], schema.names)
     return rows.mapInArrow(run, schema)
@@ -265,13 +294,14 @@ def set_table(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
 MEETING = ["sig", "node", "head"]
 
 
-def meetings(docs: DataFrame, groups: int, n: int, percent: int, text_col: str) -> DataFrame:
+def meetings(docs: DataFrame, groups: int, n: int, percent: int, text_col: str, key_bits: int,
+             clashes: np.ndarray) -> DataFrame:
     """(sig, node, head): nodes that share a signature with ``head``, the first one known of it."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, off in C.text_slices(b.column(0)):
-                row, h = shingle_sets(data, off, n)
-                _, key = set_keys(row, h, hi - lo)
+                row, h, other = shingle_sets(data, off, n)
+                _, key = node_keys(row, h, other, hi - lo, key_bits, clashes)
                 at, sig = signatures(row, h, hi - lo, percent)
                 sig, node, first, head = _meetings(sig, key[at])
                 part = ((sig >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
@@ -298,11 +328,11 @@ def meetings(docs: DataFrame, groups: int, n: int, percent: int, text_col: str)
     return blobs.groupBy("part").applyInArrow(link, "sig bigint, node bigint, head bigint")
 
 
-def strong_meetings(met: DataFrame, table: DataFrame) -> DataFrame:
+def strong_meetings(met: DataFrame, nodes: DataFrame) -> DataFrame:
     """Meetings over the signatures that similar sets can't do without, each under its smallest node."""
     member = met.select("sig", "node").unionByName(met.select("sig", F.col("head").alias("node"))).distinct()
     member = C.materialize(member, "signed")
-    least = table.groupBy("node").agg(*[F.min(c).alias(c) for c in ("band", "least", "least_next")])
+    least = nodes.select("node", "band", "least", "least_next")
     counts = member.groupBy("sig").agg(F.count(F.lit(1)).alias("c"))
     ranked = (member.join(counts, "sig").join(least, "node")
               .withColumn("b", F.col("sig").bitwiseAND(F.lit(BAND_BITS).cast("long")))
@@ -325,7 +355,7 @@ def node_texts(docs: DataFrame, nodes: DataFrame, table: DataFrame, id_col: str,
     return _texts(docs, id_col, text_col).join(ids, F.col("id") == F.col("low")).select("node", "t")
 
 
-def node_sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+def node_sets(texts: DataFrame, wanted: DataFrame, n: int, key_bits: int, clashes: np.ndarray) -> DataFrame:
     """(node, s array<long>) of the nodes in ``wanted`` (node)."""
     rows = texts.join(wanted, "node", "left_semi")
 
@@ -333,8 +363,8 @@ def node_sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         for b in batches:
             want = b.column(0).to_numpy()
             for lo, hi, data, off in C.text_slices(b.column(1)):
-                row, h = shingle_sets(data, off, n)
-                size, key = set_keys(row, h, hi - lo)
+                row, h, other = shingle_sets(data, off, n)
+                size, key = node_keys(row, h, other, hi - lo, key_bits, clashes)
                 ok = key.view(np.int64) == want[lo:hi]      # an id may be repeated with another text
                 keep = ok[row]
                 at = np.concatenate([[0], np.cumsum(size[ok])])
@@ -479,16 +509,42 @@ def open_pairs(met: DataFrame, labels: DataFrame, sketch: DataFrame, percent: in
 
 # ---------------------------------------------------------------- the join
 
-def classes(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, node, component) of every row; component is the smallest id linked, its own at least."""
+def node_table(table: DataFrame) -> DataFrame:
+    """One written row per node with shingles; ``other`` and ``other_high`` differ if several sets have its key."""
+    return C.materialize(table.where("n_shingles > 0").groupBy("node").agg(
+        F.min("id").alias("low"), F.min("other").alias("other"), F.max("other").alias("other_high"),
+        *[F.min(c).alias(c) for c in ("band", "least", "least_next")]), "nodes")
+
+
+def told_apart(table: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """``table`` and ``nodes`` with sets that share a key under their second key, and the shared keys."""
+    shared = nodes.where("other < other_high").select("node").limit(MAX_CLASHES + 1)
+    clashes = np.array([r[0] for r in shared.collect()], np.int64)
+    if len(clashes) > MAX_CLASHES:
+        raise ValueError(f"more than {MAX_CLASHES} set keys are shared")
+    if len(clashes):
+        hit = table.sparkSession.createDataFrame([(int(c),) for c in clashes], "shared_key long")
+        second = F.col("shared_key").isNotNull() & (F.col("n_shingles") > 0)
+        table = C.materialize(
+            table.join(F.broadcast(hit), F.col("node") == F.col("shared_key"), "left")
+            .withColumn("node", F.when(second, F.col("other")).otherwise(F.col("node"))).drop("shared_key"), "sets")
+        nodes = node_table(table)
+    return table, nodes, clashes.view(np.uint64)
+
+
+def classes(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text",
+            key_bits: int = 64) -> DataFrame:
+    """(id, n_shingles, node, component) of every row; component is the smallest id linked, its own at least.
+
+    ``key_bits`` of a node's first key are used: results do not depend on them, fewer let tests see shared keys."""
     if not 0 < percent <= 100:
         raise ValueError("percent lies in 1..100")
-    table = C.materialize(set_table(docs, n, percent, id_col, text_col), "sets")
+    table = C.materialize(set_table(docs, n, percent, id_col, text_col, key_bits), "sets")
+    table, nodes, clashes = told_apart(table, node_table(table))
     total = table.agg(F.sum("n_sig")).first()[0] or 0
     groups = max(C.partitions(docs.sparkSession), math.ceil(total / GROUP_SIGNATURES))
-    met = C.materialize(meetings(docs, groups, n, percent, text_col), "met")
-    met = C.materialize(strong_meetings(met, table), "meetings")
-    nodes = (table.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("low")))
+    met = C.materialize(meetings(docs, groups, n, percent, text_col, key_bits, clashes), "met")
+    met = C.materialize(strong_meetings(met, nodes), "meetings")
     labels = None
     if not met.isEmpty():
         met_nodes = met.select("node").unionByName(met.select(F.col("head").alias("node"))).distinct()
@@ -501,7 +557,7 @@ def classes(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_
         def check(pairs):
             """Similar pairs among distinct (node, head); sets are built for their nodes only."""
             wanted = pairs.select("node").unionByName(pairs.select(F.col("head").alias("node"))).distinct()
-            return verify(pairs, C.materialize(node_sets(texts, wanted, n), "node_sets"), percent)
+            return verify(pairs, C.materialize(node_sets(texts, wanted, n, key_bits, clashes), "node_sets"), percent)
 
         best = votes.groupBy("node").agg(F.max_by("head", F.struct("n", "head")).alias("head"))
         def joined(links):
@@ -526,7 +582,7 @@ def classes(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_
     if labels is None:
         out = nodes.select("node", F.col("low").alias("component"))
     else:
-        known = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        known = nodes.select("node", "low").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         least = known.groupBy("label").agg(F.min("low").alias("component"))
         out = known.join(least, "label").select("node", "component")
     empty = table.where("n_shingles = 0").select("id", "n_shingles", "node", F.col("id").alias("component"))

@@ -247,7 +247,7 @@ def test_similar_sets_share_a_signature():
 
 @pytest.mark.parametrize("percent", [80, 90, 50])
 def test_similar_sets_share_a_signature_that_both_keep(percent):
-    """Without the f - d - 1 most frequent signatures of each set every similar pair still meets."""
+    """Without its most frequent signatures, one fewer than similar sets share, every similar pair still meets."""
     r = np.random.default_rng(8)
     sets = []
     for size in [2, 5, 11, 17, 18, 26, 40, 90, 300] * 4:
@@ -279,6 +279,44 @@ def test_similar_sets_share_a_signature_that_both_keep(percent):
     assert checked > 50
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_least_shared_signatures_hold_against_worst_choices(percent):
+    """Shingles are taken from the cells whose loss costs most: full parts first, one cell each."""
+    r = np.random.default_rng(21)
+    for size in (45, 60, 90, 150, 400):
+        for _ in range(15):
+            a = np.unique(r.integers(0, 2 ** 63, size, dtype=np.uint64))
+            own, _ = J._own_and_next(np.zeros(len(a), np.int64), a, 1, percent)
+            assert own.k[0] > J.ONE_PART and len(own.cell) == len(a)
+            parts = {}
+            for i, cell in enumerate(own.cell.tolist()):
+                parts.setdefault(cell // J.PART, {}).setdefault(cell, []).append(i)
+            full = [min(c.values(), key=len)[0] for c in parts.values() if len(c) == J.PART]
+            rest = [i for c in parts.values() for v in c.values() for i in v if i not in full]
+            # similar is (n - x) / n >= percent / 100 for x lost shingles
+            lose = (full + rest)[:(100 - percent) * len(a) // 100]
+            b = np.delete(a, lose)
+            row = np.repeat([0, 1], [len(a), len(b)])
+            at, sig = J.signatures(row, np.concatenate([a, b]), 2, percent)
+            band = np.uint64(own.band[0] & J.BAND_BITS)
+            both = set(sig[at == 0].tolist()) & set(sig[at == 1].tolist())
+            mine = [x for x in both if x & J.BAND_BITS == int(band)]
+            other, after = J._own_and_next(np.zeros(len(b), np.int64), b, 1, percent)
+            if own.band[0] in (other.band[0], other.band[0] + 1):
+                assert len(mine) >= own.least()[0], (percent, size)
+
+
+def test_sets_with_one_key_are_told_apart(docs):
+    """Keys of a few bits collide all the time; results stay the same."""
+    want, got = J.classes(docs, 3, 90).collect(), J.classes(docs, 3, 90, key_bits=3).collect()
+
+    def plain(rows):
+        return sorted((r.id, r.n_shingles, r.component) for r in rows)
+
+    assert plain(got) == plain(want)
+    assert len({r.node for r in got}) == len({r.node for r in want}) > 8
+
+
 def test_null_ids_take_no_part_in_links(spark):
     text = cases.texts()[12]
     docs = cases.frame(spark, [text, text + " more", text])
