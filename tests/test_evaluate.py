@@ -105,3 +105,15 @@ def test_digest_scorer_reads_the_options_of_its_prompt():
     options = ["Alpha One", "Extra", "other", "general"]
     pick = int(hashlib.md5(p.encode()).hexdigest()[:8], 16)
     assert PromptDigestScorer().predict([p, None]) == ["Class name: " + options[pick % 4], None]
+
+
+def test_rows_of_queries_are_not_broadcast(spark):
+    # few texts that many rows repeat: their files are small, the rows are not
+    df = FS.with_vectors(_rows(spark), "id", "text")
+    test = df.where("id > 2").withColumn("id", F.col("id") + 100)
+    scored, _ = FS.fewshot_evaluate(df, "id", "embedding", "cls", "text", n_shot=1, top_n=2, test=test)
+    prompts = FS.retrieve_then_prompt(df, "id", "embedding", "cls", F.col("text"), "text", 1, 2, test=test)
+    for out, joins in ((scored, 3), (prompts, 1)):
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("SortMergeJoin") == joins and "BroadcastHashJoin" not in plan
+        assert out.count() == 5
