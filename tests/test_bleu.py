@@ -50,3 +50,34 @@ def test_tokenizer_13a(spark):
     toks = df.select(tokenize_13a("t").alias("x")).first()["x"]
     # the apostrophe (0x27) is outside the 13a punctuation ranges; '-' splits after a digit
     assert toks == ["Hello", ",", "world", ".", "It's", "3.5", "-", "4", "&", "(", "done", ")", "!"]
+
+
+def test_distinct_ids_count_in_their_rows(spark, monkeypatch):
+    import random
+
+    from labelflow.operators import bleu
+
+    r = random.Random(3)
+    text = lambda: None if r.random() < 0.1 else " ".join(r.choice("a b c d. e,f 1-2 \u00a0g".split(" ")) for _ in range(r.randint(0, 30)))
+    df = spark.createDataFrame([(i, text(), text()) for i in range(300)] + [(900, "a b " * 400, "b a " * 300)],
+                               "id long, hyp string, ref string")
+    want = bleu.bleu_stats(df, "hyp", "ref", "id").first()
+    monkeypatch.setattr(bleu, "SLICE_TOKENS", 200)               # many slices, one row longer than a slice
+    got = bleu.bleu_stats(df, "hyp", "ref", "id", distinct_ids=True)
+    assert got.first().asDict() == want.asDict() and want.correct_4 > 0
+    assert set(bleu.bleu_stats(df.limit(0), "hyp", "ref", "id", distinct_ids=True).first()) == {0}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan                               # no row for each n-gram
+
+
+def test_query_makes_no_row_for_each_ngram(spark, tmp_path):
+    from labelflow.plans.catalog_text import q_corpus_bleu
+
+    turns = [(1, 0, "user", "a b c d"), (1, 1, "assistant", "a b c d"), (1, 1, "assistant", "a b c d"),
+             (None, None, "user", "x"), (None, None, "assistant", None)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    out = q_corpus_bleu(spark, str(tmp_path))
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    x = out.first()
+    assert (x.sys_len, x.ref_len, x.p4) == (4, 5, 100.0)
