@@ -307,10 +307,10 @@ def meetings(docs: DataFrame, groups: int, n: int, percent: int, text_col: str,
                 part = ((sig >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
                 met = np.column_stack([sig, node, node[head]])[~first]
                 lead, lead_part = np.column_stack([sig, node])[first], part[first]
-                cuts = np.searchsorted(lead_part, np.arange(groups + 1))
+                cuts, met_cuts = (np.searchsorted(x, np.arange(groups + 1)) for x in (lead_part, part[~first]))
                 parts = [p for p in range(groups) if cuts[p] < cuts[p + 1]]
                 blobs = [lead[cuts[p]:cuts[p + 1]].tobytes() for p in parts]
-                mine = [met[part[~first] == p].tobytes() for p in parts]
+                mine = [met[met_cuts[p]:met_cuts[p + 1]].tobytes() for p in parts]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(parts, pa.int32()), pa.array(blobs, pa.large_binary()).cast(pa.binary()),
                      pa.array(mine, pa.large_binary()).cast(pa.binary())], ["part", "lead", "met"])

@@ -291,3 +291,57 @@ def test_near_stage_on_a_hot_group_against_all_pairs(spark):
     classes = cases.jaccard_classes(dict(enumerate(texts)), 5, 80)
     assert 41 < len(set(classes.values())) < 340
     assert {x.doc_id for x in P.near(spark, docs, SF).collect()} == set(classes.values())
+
+
+def test_stages_hand_small_batches_to_python(spark, monkeypatch):
+    """100 rows of 400 kB: by Spark's bound of 64 MB the first batch of a stage's operator held all of them."""
+    import corpus_pipeline as P
+    import pyarrow as pa
+    from labelflow.llm import common as C
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([len(b)])], ["bytes", "rows"])
+
+    def operator(docs, *_, **__):
+        return docs.mapInArrow(sizes, "bytes bigint, rows bigint")
+
+    docs = spark.range(0, 100, 1, 1).selectExpr("id AS doc_id", "repeat('words ', 66000) AS text")
+    for module, name in ((P.pu_toxicity, "keep_clean"), (P.exact_dedup, "drop_copies"), (P.jaccard_join, "keep_one"),
+                         (P.secret_scan, "redact"), (P.harmonic, "pack_documents")):
+        monkeypatch.setattr(module, name, operator)
+    before = spark.conf.get(C.BATCH_BOUND, None)
+    try:
+        for _, stage in P.STAGES:
+            spark.conf.unset(C.BATCH_BOUND)
+            got = stage(spark, docs, SF).collect()
+            assert sum(r.rows for r in got) == 100
+            assert max(r.bytes for r in got) <= 2 * C.BATCH_BYTES
+        spark.conf.set(C.BATCH_BOUND, "1m")              # a bound the session has set stays
+        got = P.near(spark, docs, SF).collect()
+        assert sum(r.rows for r in got) == 100 and max(r.bytes for r in got) <= 2 << 20
+    finally:
+        spark.conf.unset(C.BATCH_BOUND)
+        if before is not None:
+            spark.conf.set(C.BATCH_BOUND, before)
+
+
+def test_meetings_do_not_depend_on_the_number_of_groups(spark):
+    """What a slice ships is cut by signature range: with 1, 7 or 3000 groups all meetings come, each once a signature."""
+    from labelflow.llm import jaccard_join as J
+
+    r = random.Random(3)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    texts = []
+    for _ in range(30):
+        w = [r.choice(vocab) for _ in range(80)]
+        texts += [" ".join(w), " ".join([*w[:-1], r.choice(vocab)])]
+    docs = cases.frame(spark, texts).repartition(3)
+    none = np.zeros(0, np.uint64)
+    got = []
+    for groups in (1, 7, 3000):
+        met = J.meetings(docs, groups, 5, 80, "text", 64, none)
+        pairs = [(x.sig, frozenset((x.node, x.head))) for x in met.collect()]
+        assert len(pairs) == len(set(pairs))
+        got.append(set(pairs))
+    assert got[0] and got[0] == got[1] == got[2]
